@@ -73,14 +73,16 @@ def record_headers(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT) -> str:
     """Write the archive below ``path``; each payload's bytes are stored once.
 
-    Payloads are grouped by SHA-256; the group's bytes are compared too (least against greatest),
-    so two payloads under one digest stop the job instead of being merged.
+    Rows of one digest and one payload are one stored row (combined before they are shuffled); then
+    the stored digests are counted, and a digest with two payloads stops the job, so that nothing
+    is ever merged by digest alone.
     """
-    payload = _payload(html)
-    stored = pages.select(F.unhex(F.sha2(payload, 256)).alias("content"), payload.alias("payload")).dropDuplicates(["content", "payload"])
-    counted = stored.groupBy("content").agg(F.min("payload").alias("payload"), F.count("*").alias("_n"))
-    checked = F.when(F.col("_n") == 1, F.col("payload")).otherwise(F.raise_error(F.lit("one digest, two payloads")))
-    counted.select("content", checked.cast("binary").alias("payload")).write.parquet(f"{path}/payloads")
+    spark, payload = pages.sparkSession, _payload(html)
+    stored = pages.select(F.unhex(F.sha2(payload, 256)).alias("content"), payload.alias("payload")).distinct()
+    stored.write.parquet(f"{path}/payloads")
+    twice = spark.read.parquet(f"{path}/payloads").groupBy("content").count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("one digest names two payloads")
     headers = record_headers(pages, page_id, url, html, min_revisit=min_revisit)
     headers.select("header").write.option("lineSep", _BLANK).text(f"{path}/headers")
     return path
@@ -90,14 +92,11 @@ def _value(name: str) -> Column:
     return F.regexp_extract("header", rf"(?:^|\r\n){re.escape(name)}: ([^\r]*)", 1)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an archive: page_id (string), header, payload (binary), each record's own fields.
-
-    Headers meet payloads by digest; a header without its payload keeps a null payload.
-    """
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Each record's header and its fields; content is the SHA-256 that names the payload."""
     headers = spark.read.option("lineSep", _BLANK).text(f"{path}/headers").withColumnRenamed("value", "header")
     strip = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
-    fields = headers.select(
+    return headers.select(
         "header",
         F.nullif(strip(_value("WARC-Record-ID")), F.lit("")).alias("page_id"),
         _value("WARC-Target-URI").alias("url"),
@@ -106,7 +105,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _value("WARC-Payload-Digest").alias("digest"),
         F.unhex(F.regexp_extract(_value("X-Content"), "sha256:(.*)", 1)).alias("content"),
     )
-    return fields.join(spark.read.parquet(f"{path}/payloads"), "content", "left")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of an archive: page_id (string), header, payload (binary), each record's own fields.
+
+    Headers meet payloads by digest; a header without its payload keeps a null payload.
+    """
+    return read_headers(spark, path).join(spark.read.parquet(f"{path}/payloads"), "content", "left")
 
 
 def export_warc(records: DataFrame, path: str) -> str:
@@ -130,13 +136,11 @@ def parse_warc(data: bytes):
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark, "warc"))
-    records = read_archive(spark, path)
-    return records.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_of_sha1(F.col("payload")).alias("payload_digest"),
-        "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"),
+    # What the query reports of a payload is taken from its stored bytes, once, before the join.
+    payload = F.col("payload")
+    facts = spark.read.parquet(f"{path}/payloads").select("content", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_of_sha1(payload).alias("payload_digest"))
+    return read_headers(spark, path).join(facts, "content", "left").select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
 
 
