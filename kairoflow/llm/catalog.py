@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kairoflow.llm import bpe, decontamination, exact_dedup, quality, simhash, token_files, toxicity, url_filter, warc
+from kairoflow.llm import bpe, decontamination, exact_dedup, quality, simhash, suffix_array, token_files, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_array.op1_suffix_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontamination": decontamination.op4_decontamination,
