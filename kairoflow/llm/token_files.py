@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from kairoflow.llm._batches import slices, two_columns
 from kairoflow.session import materialize, new_folder, ship
 
-CACHE = 250_000
+CACHE = 500_000
 END = 2
 _MANIFEST = "first_doc long, name string, n_docs long, n_ids long, dtype string"
 
@@ -55,24 +55,31 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        missing = chunks - self.young.keys()
-        if missing:
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
-                missing = chunks
-            again = missing & self.old.keys()
-            self.young.update((c, self.old[c]) for c in again)
-            new = list(missing - again)
-            got = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-            self.young.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(new, got))
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Bring chunks that aren't in the young cache into it."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        again = missing & self.old.keys()
+        self.young.update((c, self.old[c]) for c in again)
+        new = list(missing - again)
+        if new:
+            # One call for all: each chunk is a word of its own, told apart by its number afterwards.
+            got = self.tokenizer.encode([c.decode() for c in new], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))
+            self.young.update((c, ids[x:y].tobytes()) for c, x, y in zip(new, cut[:-1].tolist(), cut[1:].tolist()))
         return self.young
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``, without the end id."""
         parts = [text.split() for text in texts]
-        known = self.learn(set().union(*parts))
-        return [b"".join(map(known.__getitem__, part)) for part in parts]
+        found = [list(map(self.young.get, part)) for part in parts]
+        holes = [(part, got, [i for i, x in enumerate(got) if x is None]) for part, got in zip(parts, found) if None in got]
+        known = self.learn({part[i] for part, _, at in holes for i in at})
+        for part, got, at in holes:
+            for i in at:
+                got[i] = known[part[i]]
+        return [b"".join(got) for got in found]
 
 
 def _open(folder: str):
