@@ -162,20 +162,16 @@ class Tokenizer:
                 self.pieces[piece] = rank.to_bytes(4, "little")
         self.pieces.update(zip([p for p, _ in todo], self.merge([w for _, w in todo])))
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The cache, after every chunk has come into it."""
-        missing = chunks - self.young.keys()
-        if missing:
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
-                missing = chunks
-            again = missing & self.old.keys()
-            self.young.update((c, self.old[c]) for c in again)
-            missing -= again
-            cut = {chunk: self.split.findall(chunk) for chunk in missing}
-            self._learn_pieces({p for pieces in cut.values() for p in pieces})
-            known = self.pieces
-            self.young.update((chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in cut.items())
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Bring chunks that aren't in the young cache into it."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        again = missing & self.old.keys()
+        self.young.update((c, self.old[c]) for c in again)
+        cut = {chunk: self.split.findall(chunk) for chunk in missing - again}
+        self._learn_pieces({p for pieces in cut.values() for p in pieces})
+        known = self.pieces
+        self.young.update((chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in cut.items())
         return self.young
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -194,8 +190,13 @@ class Tokenizer:
             if "" in part:  # an empty part stands for a line end
                 part = [p or "\n" for p in part]
             parts.append(part + ["\n"] if body is not text else part)
-        known = self.learn(set().union(*parts))
-        return [b"".join(map(known.__getitem__, part)) for part in parts]
+        found = [list(map(self.young.get, part)) for part in parts]
+        holes = [(part, got, [i for i, x in enumerate(got) if x is None]) for part, got in zip(parts, found) if None in got]
+        known = self.learn({part[i] for part, _, at in holes for i in at})
+        for part, got, at in holes:
+            for i in at:
+                got[i] = known[part[i]]
+        return [b"".join(got) for got in found]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of all ids, gathered from the vocabulary in order."""
