@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from kairoflow.llm._batches import slices, two_columns
 from kairoflow.session import ship
 
-CACHE = 250_000
+CACHE = 500_000
 LONG_PIECE = 256
 #: Pieces that one recursive query takes; more would leave the CPU's caches.
 QUERY_PIECES = 20_000
-#: White space other than single spaces and line ends between words, or spaces at a line's ends.
-_ODD = regex.compile(r"[^\S \n]| [ \n]|\n[ \n]|\A\s|\s\Z")
 
 _MERGE = """
 WITH RECURSIVE t(done, w, pos, id, npos, nid, r) AS (
@@ -49,7 +47,7 @@ WITH RECURSIVE t(done, w, pos, id, npos, nid, r) AS (
      FROM t LEFT JOIN pair ON pair.w = t.w WHERE NOT t.done AND (pair.q IS NULL OR t.pos <> pair.q))
    SELECT done, w, pos, id, npos, nid, CASE WHEN touched THEN m.r ELSE moved.r END
    FROM moved LEFT JOIN merges m ON m.k = CASE WHEN touched THEN id::BIGINT * 65536 + nid END))
-SELECT w, list(id ORDER BY pos) AS ids, string_agg(h, '' ORDER BY pos) AS hexed FROM t JOIN vocab USING (id) WHERE done GROUP BY w
+SELECT w, list(id ORDER BY pos) AS ids, string_agg(h, '' ORDER BY pos) AS hexed FROM t JOIN vocab USING (id) WHERE done GROUP BY w ORDER BY w
 """
 
 
@@ -92,6 +90,7 @@ class Tokenizer:
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in; CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.pieces: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -114,10 +113,13 @@ class Tokenizer:
                 "w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos, "id": ids,
                 "npos": np.where(last, -1, pos + 1).astype(np.int32), "nid": np.where(last, -1, np.append(ids[1:], -1)).astype(np.int32),
             }))
-            for w, got, hexed in self.db.execute(_MERGE).fetchall():
-                if bytes.fromhex(hexed) != words[part[w]]:
-                    raise ValueError(f"{words[part[w]]!r} doesn't survive the round trip")
-                found[part[w]] = np.array(got, "<u4").tobytes()
+            got = self.db.sql(_MERGE).to_arrow_table().combine_chunks()
+            if "".join(got["hexed"].to_pylist()) != b"".join(words[i] for i in part).hex():
+                raise ValueError("a piece doesn't survive the round trip")
+            lists = got["ids"].chunk(0)
+            flat, cut = lists.values.to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            for i, x, y in zip(part, cut[:-1], cut[1:]):
+                found[i] = flat[x:y]
         return found
 
     def merge_long(self, word: bytes) -> bytes:
@@ -148,10 +150,11 @@ class Tokenizer:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def _learn_pieces(self, pieces: set[str]) -> None:
+        if len(self.pieces) > CACHE:
+            self.pieces, self.past = {}, self.pieces
         new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces = {}
-            new = list(pieces)
+        self.pieces.update((p, self.past[p]) for p in new if p in self.past)
+        new = [p for p in new if p not in self.pieces]
         raw = [p.encode() for p in new]
         todo = []
         for piece, word in zip(new, raw):
@@ -183,10 +186,11 @@ class Tokenizer:
         parts = []
         for text in texts:
             body = text[:-1] if text.endswith("\n") else text
-            if not body or _ODD.search(body):
+            part = body.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
+            # Any other white space, or two of it in a row or at an end, makes more or fewer parts than words.
+            if len(body.split()) != len(part) - body.count("\n"):
                 parts.append(self.split.findall(text))
                 continue
-            part = body.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
             if "" in part:  # an empty part stands for a line end
                 part = [p or "\n" for p in part]
             parts.append(part + ["\n"] if body is not text else part)
