@@ -216,7 +216,7 @@ class Pool:
         check_names(new, () if overwrite else self.static_features)
         kind = self.entity.schema[ID].dataType
         frame = df.withColumn(key, F.col(key).cast(kind)).withColumnRenamed(key, ID)
-        base = self.ids() if self.static is None else self.static.drop(*new)
+        base = self.ids() if self.static is None else self.ids().join(self.static.drop(*new), ID, "left")
         return replace(self, static=base.join(frame, ID, "left"))
 
     def drop_features(self, features, is_static: bool = False, permanently: bool = False) -> "Pool":

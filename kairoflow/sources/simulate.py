@@ -16,33 +16,33 @@ _ORIGIN = datetime(2000, 1, 1)
 _DAY = 86400 * 10**6
 
 
-def _uniform(seed: int, *keys) -> Column:
-    """A number in [0, 1) from keys and a seed; the same on any cluster."""
-    return F.pmod(F.xxhash64(*[F.col(k) if isinstance(k, str) else F.lit(k) for k in keys], F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def _uniform(seed: int, tag: str, *keys: str) -> Column:
+    """A number in [0, 1) from key columns, a tag and a seed; the same on any cluster."""
+    return F.pmod(F.xxhash64(*keys, F.lit(tag), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def _rows(spark: SparkSession, n_ids: int, length: tuple[int, int], features: int, categories: tuple[str, ...], seed: int) -> DataFrame:
     low, high = length
-    ids = spark.range(n_ids).withColumn("_n", (F.lit(low) + F.floor(_uniform(seed, "id", "n") * (high - low + 1))).cast("int"))
+    ids = spark.range(n_ids).withColumn("_n", (F.lit(low) + F.floor(_uniform(seed, "n", "id") * (high - low + 1))).cast("int"))
     rows = ids.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     columns = {}
     for i in range(features):
-        u = _uniform(seed, "id", "_k", f"f{i}")
+        u = _uniform(seed, f"f{i}", "id", "_k")
         columns[f"feature_{i}"] = F.element_at(F.array(*[F.lit(c) for c in categories]), (F.floor(u * len(categories)) + 1).cast("int")) if i % 2 == 0 else F.round(u * 100, 3)
     return rows.withColumns(columns)
 
 
 def _times(rows: DataFrame, seed: int, gap: str = "gap") -> DataFrame:
     """A running time: gaps of one second to a day."""
-    steps = (F.lit(10**6) + F.floor(_uniform(seed, "id", "_k", gap) * (_DAY - 10**6))).cast("long")
+    steps = (F.lit(10**6) + F.floor(_uniform(seed, gap, "id", "_k") * (_DAY - 10**6))).cast("long")
     at = F.sum(steps).over(Window.partitionBy("id").orderBy("_k"))
     return rows.withColumn("time", F.timestamp_add("MICROSECOND", at, F.lit(_ORIGIN.isoformat(sep=" ")).cast("timestamp_ntz")))
 
 
 def simulate_static(spark: SparkSession, n_ids: int = 100, seed: int = 0) -> DataFrame:
     """id, age, group."""
-    group = F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), (F.floor(_uniform(seed, "id", "g") * 4) + 1).cast("int"))
-    return spark.range(n_ids).select("id", (18 + F.floor(_uniform(seed, "id", "a") * 73)).cast("int").alias("age"), group.alias("group"))
+    group = F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), (F.floor(_uniform(seed, "g", "id") * 4) + 1).cast("int"))
+    return spark.range(n_ids).select("id", (18 + F.floor(_uniform(seed, "a", "id") * 73)).cast("int").alias("age"), group.alias("group"))
 
 
 def simulate_events(spark: SparkSession, n_ids: int = 100, length: tuple[int, int] = (3, 10), features: int = 2, categories: tuple[str, ...] = ("A", "B", "C"), seed: int = 0) -> Pool:
@@ -53,7 +53,7 @@ def simulate_events(spark: SparkSession, n_ids: int = 100, length: tuple[int, in
 def simulate_intervals(spark: SparkSession, n_ids: int = 100, length: tuple[int, int] = (3, 10), features: int = 2, categories: tuple[str, ...] = ("A", "B", "C"), overlap: bool = True, seed: int = 0) -> Pool:
     """Intervals of up to two days; without ``overlap`` each ends before the next starts."""
     rows = _times(_rows(spark, n_ids, length, features, categories, seed), seed)
-    ends = F.timestamp_add("MICROSECOND", (1 + F.floor(_uniform(seed, "id", "_k", "d") * 2 * _DAY)).cast("long"), F.col("time"))
+    ends = F.timestamp_add("MICROSECOND", (1 + F.floor(_uniform(seed, "d", "id", "_k") * 2 * _DAY)).cast("long"), F.col("time"))
     if not overlap:
         ends = F.least(ends, F.coalesce(F.lead("time").over(Window.partitionBy("id").orderBy("_k")), ends))
     return build_intervals(rows.withColumn("end", ends), "id", "time", "end", ordinal="_k")
