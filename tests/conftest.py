@@ -43,10 +43,10 @@ def duck(sf):
 
 def rows_of(frame):
     """Sorted rows as tuples of plain values, columns by name; whole floats equal integers."""
-    import math
+    import pandas as pd
 
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or pd.isna(v):
             return ""
         if isinstance(v, bool):
             return str(v)
