@@ -12,7 +12,7 @@ from kairoflow.plans import QUERIES
 
 HEADLINE = (
     "describe_events", "describe_states", "filter_rank_slice", "filter_rank_relative", "pattern_gap", "pattern_witness", "t0_query_floor",
-    "binned_events", "binned_intervals", "presence_map", "trajectory_describe", "survival", "occupancy_percent", "dist_edit", "dist_chi2", "dist_dtw",
+    "binned_events", "binned_intervals", "presence_map", "trajectory_describe", "survival", "occupancy_percent", "dist_edit_all", "dist_chi2_all", "dist_dtw",
 )
 
 

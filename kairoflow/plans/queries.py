@@ -1,7 +1,7 @@
 """One query for each operator family, with DuckDB SQL that gives the same rows.
 
-``few`` limits pair queries to ids under a number because all pairs of ids are their result's size;
-the limit is part of the query on both sides.
+Pair queries and clusterers run over all ids. Those whose SQL has ``WHERE id < 40`` keep that subset as
+the part that is held against SQL; each has a query of the same name with ``_all`` over every id.
 """
 
 from __future__ import annotations
@@ -317,6 +317,12 @@ def _(spark, sf):
     return joined.entity.select(F.col(ID).alias("id"), F.col("_t").alias("ts"))
 
 
+@query("extend_skip_all")
+def _(spark, sf):
+    joined = p.events(spark, sf).extend(p.orders(spark, sf), on_duplicate="skip")
+    return joined.entity.select(F.col(ID).alias("id"), F.col("_t").alias("ts"))
+
+
 @query("split_counts", "SELECT 'first' AS part, (count(DISTINCT user_id) * 7 // 10)::BIGINT AS n FROM events UNION ALL SELECT 'second', count(DISTINCT user_id) - (count(DISTINCT user_id) * 7 // 10)::BIGINT FROM events")
 def _(spark, sf):
     pool = p.events(spark, sf)
@@ -357,6 +363,7 @@ def _(spark, sf):
 
 # -- distances ---------------------------------------------------------------------------------
 
+#: The ids that the SQL of the pair queries names.
 _FEW = 40
 _F = E + f", q AS (SELECT * FROM e WHERE id < {_FEW})"
 _TYPE = Hamming("event_type")
@@ -375,6 +382,11 @@ def _(spark, sf):
     return Edit(_TYPE).between(_few(spark, sf), None)
 
 
+@query("dist_edit_all")
+def _(spark, sf):
+    return Edit(_TYPE).between(p.events(spark, sf), None)
+
+
 _PAIRS = "k AS (SELECT a.id AS id_a, b.id AS id_b, a.r, a.event_type AS ta, b.event_type AS tb, a.value AS va, b.value AS vb, least(a.n, b.n) AS m, a.n AS na, b.n AS nb FROM q a JOIN q b ON a.id < b.id AND a.r = b.r)"
 
 
@@ -383,22 +395,43 @@ def _(spark, sf):
     return LinearPairwise(_TYPE).between(_few(spark, sf), None).withColumn("distance", F.round("distance", 9))
 
 
+@query("dist_linear_all")
+def _(spark, sf):
+    return LinearPairwise(_TYPE).between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 9))
+
+
 @query("dist_l2", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, round(sum(CASE WHEN va * va + vb * vb > 0 THEN (va - vb) ** 2 / (va * va + vb * vb) ELSE 0 END), 6) AS distance FROM k GROUP BY ALL")
 def _(spark, sf):
     return LinearPairwise(SquaredL2("value"), agg="sum").between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
+@query("dist_l2_all")
+def _(spark, sf):
+    return LinearPairwise(SquaredL2("value"), agg="sum").between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
+
+
 @query("dist_combined", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, round(avg((0.7 * (ta <> tb)::INT + 0.3 * CASE WHEN va * va + vb * vb > 0 THEN (va - vb) ** 2 / (va * va + vb * vb) ELSE 0 END)), 6) AS distance FROM k GROUP BY ALL")
 def _(spark, sf):
     metric = Combined((_TYPE, SquaredL2("value")), (0.7, 0.3))
     return LinearPairwise(metric).between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
+@query("dist_combined_all")
+def _(spark, sf):
+    metric = Combined((_TYPE, SquaredL2("value")), (0.7, 0.3))
+    return LinearPairwise(metric).between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
+
+
 @query("dist_lcp", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, (any_value(na) + any_value(nb) - 2 * coalesce(min(CASE WHEN ta <> tb THEN r END), any_value(m)))::DOUBLE AS distance FROM k GROUP BY id_a, id_b")
 def _(spark, sf):
     return LCP(_TYPE).between(_few(spark, sf), None)
 
 
+@query("dist_lcp_all")
+def _(spark, sf):
+    return LCP(_TYPE).between(p.events(spark, sf), None)
+
+
 @query("dist_chi2", f"""WITH {_F}, h AS (SELECT id, event_type, count(*) / any_value(n) AS s FROM q GROUP BY id, event_type), u AS (SELECT a.id AS id_a, b.id AS id_b FROM (SELECT DISTINCT id FROM q) a JOIN (SELECT DISTINCT id FROM q) b ON a.id < b.id),
 c AS (SELECT id_a, id_b, y.event_type, coalesce(h1.s, 0) AS pa, coalesce(h2.s, 0) AS pb FROM u CROSS JOIN (SELECT DISTINCT event_type FROM q) y LEFT JOIN h h1 ON h1.id = id_a AND h1.event_type = y.event_type LEFT JOIN h h2 ON h2.id = id_b AND h2.event_type = y.event_type)
 SELECT id_a, id_b, round(sqrt(sum(CASE WHEN pa + pb > 0 THEN (pa - pb) ** 2 / (pa + pb) ELSE 0 END)), 6) AS distance FROM c GROUP BY id_a, id_b""")
@@ -406,44 +439,53 @@ def _(spark, sf):
     return Chi2(feature="event_type").between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
+@query("dist_chi2_all")
+def _(spark, sf):
+    return Chi2(feature="event_type").between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
+
+
 @query("dist_static", f"SELECT a.c_custkey::BIGINT AS id_a, b.c_custkey::BIGINT AS id_b, (a.c_mktsegment <> b.c_mktsegment OR a.c_nationkey <> b.c_nationkey)::INT::DOUBLE AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey WHERE a.c_custkey < {_FEW} AND b.c_custkey < {_FEW}")
 def _(spark, sf):
     static = p.customers(spark, sf).where(F.col("id") < _FEW).select(F.col("id").alias(ID), "c_mktsegment", "c_nationkey")
     return StaticMetric().of(static)
 
 
+@query("dist_static_all")
+def _(spark, sf):
+    return StaticMetric().of(p.customers(spark, sf).select(F.col("id").alias(ID), "c_mktsegment", "c_nationkey"))
+
+
 @query("dist_aggregation")
 def _(spark, sf):
     t = p.trajectories(spark, sf)
-    t = t.subset(t.ids().where(F.col(ID) < _FEW))
     return Aggregation({"events": Edit(_TYPE, normalize=True), "orders": LinearPairwise(Hamming("o_orderstatus"))}, weights={"events": 2.0}).matrix(t).pairs
 
 
 @query("dist_lcs")
 def _(spark, sf):
-    return LCS(_TYPE).between(_few(spark, sf), None)
+    return LCS(_TYPE).between(p.events(spark, sf), None)
 
 
 @query("dist_dtw")
 def _(spark, sf):
-    return DTW(SquaredL2("value"), window=30).between(_few(spark, sf), None)
+    return DTW(SquaredL2("value"), window=30).between(p.events(spark, sf), None)
 
 
 @query("dist_softdtw")
 def _(spark, sf):
-    return SoftDTW(_TYPE, gamma=0.5).between(_few(spark, sf), None)
+    return SoftDTW(_TYPE, gamma=0.5).between(p.events(spark, sf), None)
 
 
 @query("cluster_pam")
 def _(spark, sf):
-    return PAM(Edit(_TYPE), n_clusters=3).labels(_few(spark, sf)).withColumnRenamed(ID, "id")
+    return PAM(Edit(_TYPE), n_clusters=3).labels(p.events(spark, sf)).withColumnRenamed(ID, "id")
 
 
 @query("cluster_hierarchical")
 def _(spark, sf):
-    return Hierarchical(Chi2(feature="event_type"), n_clusters=3, linkage="average").labels(_few(spark, sf)).withColumnRenamed(ID, "id")
+    return Hierarchical(Chi2(feature="event_type"), n_clusters=3, linkage="average").labels(p.events(spark, sf)).withColumnRenamed(ID, "id")
 
 
 @query("cluster_clara")
 def _(spark, sf):
-    return CLARA(Chi2(feature="event_type"), n_clusters=2, sampling_ratio=0.3, instances=2, random_state=1).labels(_few(spark, sf)).withColumnRenamed(ID, "id")
+    return CLARA(Chi2(feature="event_type"), n_clusters=2, sampling_ratio=0.3, instances=2, random_state=1).labels(p.events(spark, sf)).withColumnRenamed(ID, "id")

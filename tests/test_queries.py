@@ -18,3 +18,39 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Tables with user ids on both sides of the 40 that the SQL of the pair queries names."""
+    from pyspark.sql import functions as F
+
+    top = str(tmp_path_factory.mktemp("wide"))
+    events = spark.createDataFrame([(k, f"2024-01-{1 + k % 9:02d} 00:00:00", 35 + k % 10, "abc"[k % 7 % 3], float(k % 5)) for k in range(60)], "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{top}/events.parquet")
+    orders = spark.createDataFrame([(k, 35 + k % 12, "2024-01-02", "OF"[k % 2], 1.0, "1-URGENT") for k in range(48)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{top}/orders.parquet")
+    spark.createDataFrame([(k, "BUILDING", 0.5 * k, k % 3) for k in range(35, 47)], "c_custkey long, c_mktsegment string, c_acctbal double, c_nationkey long").write.parquet(f"{top}/customer.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", ["dist_edit_all", "dist_linear_all", "dist_l2_all", "dist_combined_all", "dist_lcp_all", "dist_chi2_all", "dist_lcs", "dist_dtw", "dist_softdtw"])
+def test_pairs_of_all_ids(spark, wide, name):
+    got = {(r.id_a, r.id_b) for r in QUERIES[name](spark, wide).collect()}
+    assert got == {(a, b) for a in range(35, 45) for b in range(a + 1, 45)}
+
+
+@pytest.mark.parametrize("name", ["dist_static_all", "dist_aggregation"])
+def test_pairs_of_all_customers(spark, wide, name):
+    got = {(r.id_a, r.id_b) for r in QUERIES[name](spark, wide).collect()}
+    assert got == {(a, b) for a in range(35, 47) for b in range(a + 1, 47)}
+
+
+@pytest.mark.parametrize("name", ["cluster_pam", "cluster_hierarchical", "cluster_clara"])
+def test_labels_of_all_ids(spark, wide, name):
+    assert {r.id for r in QUERIES[name](spark, wide).collect()} == set(range(35, 45))
+
+
+def test_extend_with_all_ids(spark, wide):
+    rows = QUERIES["extend_skip_all"](spark, wide).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in rows} == {k: 6 for k in range(35, 45)} | {45: 4, 46: 4}
