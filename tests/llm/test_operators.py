@@ -250,6 +250,28 @@ def test_near_copies_against_all_pairs(spark, empty):
     assert near_dups.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_copies_however_they_differ(spark):
+    """Texts with an appended, cut or replaced end of which 0.8 to 0.9 of the shingles are shared."""
+    rng = random.Random(10)
+    rows = []
+    for g in range(90):
+        base = prose(rng, 200).split()
+        n, share = rng.choice((80, 140, 200)), rng.choice((0.81, 0.84, 0.88))
+        base = base[:n]
+        if g % 3 == 0:
+            other = base + prose(rng, int((n - 4) * (1 / share - 1))).split()
+        elif g % 3 == 1:
+            other = base[: 5 + int((n - 4) * share)]
+        else:
+            keep = 4 + int((n - 4) * 2 * share / (1 + share)) + 1
+            other = base[:keep] + prose(rng, n - keep).split()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    truth = slow_groups(rows)
+    assert len(set(truth.values())) == 90
+    got = {r.doc_id: r.component_id for r in near_dups.near_groups(table(spark, rows)).collect()}
+    assert got == truth
+
+
 # -- 8 and 9 --------------------------------------------------------------------------------------
 
 
