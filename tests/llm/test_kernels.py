@@ -177,3 +177,10 @@ def test_windows_cover_every_word():
     x = toxicity.prepare(batch([text, "", "one"]))
     assert sorted(set(x.windows[x.text == 0].ravel()) - {-1}) != [] and len(set(x.windows[x.text == 0].ravel()) - {-1}) == 61
     assert (x.windows[x.text == 1] == -1).all() and [int((x.text == t).sum()) for t in range(3)] == [5, 1, 1]
+
+
+def test_band_keys_ignore_repetition():
+    rng = random.Random(12)
+    base = [" ".join("".join(rng.choice("aeioustrn") for _ in range(5)) for _ in range(rng.randint(80, 400))) for _ in range(50)]
+    one, two = (near_dups.band_keys(near_dups.shingles(batch(texts))) for texts in (base, [f"{t} {t}" for t in base]))
+    assert (one == two).any(1).all()
