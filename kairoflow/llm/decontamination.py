@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of ``SPAN`` words hash eight of them and ignore the rest, so an overlap with
-substituted words still gives an equal hash where the changes fall on ignored positions. Hashes of
+Fixed masks of at most nine words hash six of them and ignore the rest. They were chosen by
+enumeration: wherever the changed words of an overlap stand, at least one mask has a place that
+meets unchanged words alone. Hashes of
 benchmark items and documents are joined; around each hit the two are compared word by word on
 the hit's diagonal.
 """
@@ -20,7 +21,10 @@ from kairoflow.llm._batches import slices, two_columns
 from kairoflow.llm._words import Words, mix
 from kairoflow.session import materialize, ship
 
-MASKS = ("111100001111", "110011001111", "101010111101", "110101101011")
+#: Any two changes in 13 words and any fifth of an item of 12 to 23 words leave one of these whole;
+#: a longer item is made of such pieces, one of which has no more than a fifth of its words changed.
+MASKS = ("1101111", "111010011", "111111", "1111011", "111010101")
+#: Items with fewer words have no masks.
 SPAN = 12
 #: Items with fewer words can't be told from ordinary text; they are not searched for.
 MIN_WORDS = 5
@@ -42,9 +46,9 @@ def _keys(hashes: np.ndarray, places: list[int], salt: int) -> np.ndarray:
     return mix(key)
 
 
-def _seeds(lengths: list[int]) -> list[tuple[int, list[int]]]:
-    """(span, places) of the masks, and of the whole of items shorter than a mask."""
-    masks = [(SPAN, [i for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
+def _seeds(lengths: list[int]) -> list[tuple[int | None, list[int]]]:
+    """(None, places) of the masks, and (length, places) of the whole of items under ``SPAN`` words."""
+    masks = [(None, [i for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
     return masks + [(n, list(range(n))) for n in sorted(lengths)]
 
 
@@ -58,8 +62,8 @@ def _item_rows(lengths: list[int]):
                 if len(own) < MIN_WORDS:
                     continue
                 keys = []
-                for salt, (span, places) in enumerate(_seeds(lengths)):
-                    if len(own) >= SPAN if span == SPAN else len(own) == span:
+                for salt, (length, places) in enumerate(_seeds(lengths)):
+                    if len(own) >= SPAN if length is None else len(own) == length:
                         keys += [{"key": int(k), "pos": p} for p, k in enumerate(_keys(own, places, salt).view(np.int64))]
                 out["item_id"].append(item)
                 out["tokens"].append(own.view(np.int64))
@@ -79,10 +83,10 @@ def _document_rows(lengths: list[int], bloom):
             words = Words(part)
             hashes, owner = words.hashes(), words.owner
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for salt, (span, places) in enumerate(seeds):
+            for salt, (_, places) in enumerate(seeds):
                 keys = _keys(hashes, places, salt)
                 at = _bloom.may_hold(bloom.value, keys)
-                at = at[owner[at] == owner[at + span - 1]]
+                at = at[owner[at] == owner[at + max(places)]]
                 found.append((at, keys[at]))
             at = np.concatenate([x for x, _ in found])
             keys = np.concatenate([x for _, x in found]).view(np.int64)

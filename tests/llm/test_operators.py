@@ -174,6 +174,30 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(empty, frame).count() == 0 and decontamination.contaminated(table(spark, docs), frame.limit(0)).count() == 0
 
 
+def test_decontamination_wherever_words_change(spark):
+    """All placements of two changes in a lone 13-word passage, and of a fifth of an item of 12 or 15 words."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("aeioustrn") for _ in range(9)) for _ in range(n)]
+    items, docs, want = {0: words(40), 1: words(12), 2: words(15)}, [], set()
+    for item, low, n, k in ((0, 20, 13, 2), (1, 0, 12, 2), (2, 0, 15, 3)):
+        for places in itertools.combinations(range(n), k):
+            text = items[item][low : low + n]
+            for at in places:
+                text[at] = "other"
+            want.add((len(docs), item))
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, docs), frame).collect()} == want
+
+
+def test_masks_meet_every_fifth():
+    masks = [sum(1 << i for i in places) for _, places in decontamination._seeds([])]
+    for n in range(12, 24):
+        placed = [m << s for m in masks for s in range(n - m.bit_length() + 1)]
+        changes = (sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5))
+        assert all(any(not p & c for p in placed) for c in changes)
+
+
 # -- 5 and 10 -------------------------------------------------------------------------------------
 
 
