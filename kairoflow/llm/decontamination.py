@@ -131,7 +131,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     diagonal), item_words.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An overlap is 11 of 13
-    words in a row, or 80 % of an item's words in place; items under 5 words are not searched for.
+    words in a row, or 80 % of an item's words in place. Items of 5 to 11 words are found where all
+    their words stand in a row only; items under 5 words are not searched for.
     Null and empty texts overlap with nothing; rows with a null id are reported under null; rows
     that repeat an id count as one document; an empty table on either side gives no rows.
     """
