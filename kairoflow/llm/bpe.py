@@ -180,17 +180,19 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
-        Where words are parted by single spaces or line ends only, no piece crosses from one word
-        to the next, and words are looked up as they are; other texts are split by the pattern.
+        Where words are parted by one space or one line end each and by nothing else, no piece
+        crosses from one word to the next, and words are looked up as they are; all other texts are
+        split by the pattern.
         """
         parts = []
         for text in texts:
             body = text[:-1] if text.endswith("\n") else text
-            part = body.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
-            # Any other white space, or two of it in a row or at an end, makes more or fewer parts than words.
-            if len(body.split()) != len(part) - body.count("\n"):
+            words, gaps = body.split(), body.count(" ") + body.count("\n")
+            # One character in each gap, and none of them anything but a space or a line end.
+            if not words or len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(body):
                 parts.append(self.split.findall(text))
                 continue
+            part = body.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
             if "" in part:  # an empty part stands for a line end
                 part = [p or "\n" for p in part]
             parts.append(part + ["\n"] if body is not text else part)
@@ -202,6 +204,14 @@ class Tokenizer:
                 got[i] = known[part[i]]
         return [b"".join(got) for got in found]
 
+    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Each text's ids and the bytes decoded from them, which must be the text's own."""
+        ids = self.encode(texts)
+        decoded = [self.decode(x) for x in ids]
+        if any(x != text.encode() for x, text in zip(decoded, texts)):
+            raise ValueError("a text doesn't survive the round trip")
+        return ids, decoded
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of all ids, gathered from the vocabulary in order."""
         tokens = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -230,7 +240,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(where)
         for part in slices(batches):
-            got = tokenizer.encode(part.column(1).to_pylist())
+            got, _ = tokenizer.round_trip(part.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
@@ -266,9 +276,9 @@ def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         tokenizer = Tokenizer.of(where)
         digest = lambda b: hashlib.sha256(b).hexdigest()
         for part in slices(batches):
-            got = tokenizer.encode(part.column(1).to_pylist())
+            got, back = tokenizer.round_trip(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([digest(x) for x in got]), pa.array([digest(tokenizer.decode(x)) for x in got])],
+                [part.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([digest(x) for x in got]), pa.array([digest(x) for x in back])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

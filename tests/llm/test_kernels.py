@@ -17,6 +17,7 @@ from kairoflow.llm._words import SPACE, Words
 
 TEXTS = [
     "", "  ", "a", " a b", "x  y\n\n z\t  q", "Ünï CÖDE\x00 x", "日本語 のテキスト", "a" * 3000, "\n", "\n\n", " \n ", "foo\nbar", "foo \nbar", "foo\n", "foo bar\n",
+    "Title\tpage\n\nBody", " a\tb", "a\u00a0b c", "a\r\nb", "a\x0bb\n\nc", "\ta", "a \n", "a\n b",
     "it's we'll 123 abc123!!", "😀😀 👍🏽", "é x", "\x1c\x1d a\x85b", "The quick brown fox\njumps over the lazy dog. " * 40,
 ]
 
@@ -34,6 +35,8 @@ def test_bpe_equals_the_library_and_round_trips(tokenizer):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.ranks, special_tokens={})
     rng = random.Random(0)
     texts = TEXTS + ["".join(rng.choice("ab \nÄ.'1s") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    # White space of every kind beside words, where a mistaken cut would go unnoticed.
+    texts += ["".join(rng.choice(["a", "b.", "it's", "é1", " ", " ", "\n", "\n", "\t", "\r\n", "\u00a0", "\x0b", "\x1c", "\u2028", "\u3000"]) for _ in range(rng.randint(0, 14))) for _ in range(10_000)]
     for _ in range(2):  # the second time from the caches
         got = tokenizer.encode(texts)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode_ordinary(t) for t in texts]
