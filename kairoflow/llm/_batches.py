@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Slices end before this many bytes of text, or after one document.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(operator: str, key: str, make: Callable[[str], object]):
+    """``make(key)``, kept by this worker process until another operator's task comes to it."""
+    release(operator)
+    if (operator, key) not in _kept:
+        _kept[operator, key] = make(key)
+    return _kept[operator, key]
+
+
+def release(operator: str = "") -> None:
+    """Drop what other operators keep: their caches mustn't stand beside the next one's arrays."""
+    others = [k for k in _kept if k[0] != operator]
+    if others:
+        for k in others:
+            del _kept[k]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: its memory is reused, not returned
+            pass
 
 
 def two_columns(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -26,8 +51,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, operator: str = "") -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about ``most`` bytes of ``text`` each; no empty parts."""
+    release(operator)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -5,7 +5,7 @@ pieces not seen before join the merge table; each round contracts the leftmost p
 of every piece, until no piece has a pair left. An ordered aggregation decodes each piece's ids, and
 must give the piece back. Documents then are runs of known pieces.
 
-Costs that are bounded: the piece caches are two generations of ``CACHE`` entries each; a piece
+Costs that are bounded: the cache is two generations of some ``CACHE`` entries each; a piece
 longer than ``LONG_PIECE`` bytes, whose rounds would grow with the square of its length, is merged
 by a heap with the same order of contractions instead.
 """
@@ -24,11 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoflow.llm._batches import slices, two_columns
+from kairoflow.llm._batches import kept, slices, two_columns
 from kairoflow.session import ship
 
-CACHE = 500_000
+CACHE = 400_000
 LONG_PIECE = 256
+#: Bytes of text whose new pieces are merged together.
+BPE_SLICE = 2 << 20
 #: Pieces that one recursive query takes; more would leave the CPU's caches.
 QUERY_PIECES = 20_000
 
@@ -57,15 +59,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """One vocabulary's DuckDB tables and caches; a worker process keeps it between tasks."""
-
-    _kept: dict[str, Tokenizer] = {}
+    """One vocabulary's DuckDB tables and the cache of chunks and pieces; a worker process keeps it
+    while it serves tasks of this operator."""
 
     @classmethod
     def of(cls, path: str) -> Tokenizer:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return kept("bpe", path, cls)
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
@@ -89,8 +88,6 @@ class Tokenizer:
         self.db.register("merges_in", merges)
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in; CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.pieces: dict[str, bytes] = {}
-        self.past: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -150,32 +147,31 @@ class Tokenizer:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces, self.past = {}, self.pieces
-        new = [p for p in pieces if p not in self.pieces]
-        self.pieces.update((p, self.past[p]) for p in new if p in self.past)
-        new = [p for p in new if p not in self.pieces]
-        raw = [p.encode() for p in new]
+        new = [p for p in pieces if p not in self.young]
+        self.young.update((p, self.old[p]) for p in new if p in self.old)
         todo = []
-        for piece, word in zip(new, raw):
+        for piece in new:
+            if piece in self.young:
+                continue
+            word = piece.encode()
             rank = self.ranks.get(word)
             if rank is None:
                 todo.append((piece, word))
             else:
-                self.pieces[piece] = rank.to_bytes(4, "little")
-        self.pieces.update(zip([p for p, _ in todo], self.merge([w for _, w in todo])))
+                self.young[piece] = rank.to_bytes(4, "little")
+        self.young.update(zip([p for p, _ in todo], self.merge([w for _, w in todo])))
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Bring chunks that aren't in the young cache into it."""
+        """Bring chunks that aren't in the young cache into it; most chunks are one piece."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         again = missing & self.old.keys()
         self.young.update((c, self.old[c]) for c in again)
         cut = {chunk: self.split.findall(chunk) for chunk in missing - again}
         self._learn_pieces({p for pieces in cut.values() for p in pieces})
-        known = self.pieces
-        self.young.update((chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in cut.items())
-        return self.young
+        known = self.young
+        known.update([(chunk, b"".join([known[p] for p in pieces])) for chunk, pieces in cut.items() if len(pieces) != 1])
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
@@ -239,7 +235,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(where)
-        for part in slices(batches):
+        for part in slices(batches, most=BPE_SLICE, operator="bpe"):
             got, _ = tokenizer.round_trip(part.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
@@ -275,7 +271,7 @@ def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(where)
         digest = lambda b: hashlib.sha256(b).hexdigest()
-        for part in slices(batches):
+        for part in slices(batches, most=BPE_SLICE, operator="bpe"):
             got, back = tokenizer.round_trip(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([digest(x) for x in got]), pa.array([digest(x) for x in back])],

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kairoflow.llm._batches import slices, two_columns
+from kairoflow.llm._batches import kept, slices, two_columns
 from kairoflow.session import materialize, new_folder, ship
 
 CACHE = 500_000
@@ -37,13 +37,9 @@ class WordEncoder:
     chunks in order. Chunks are cut at ASCII white space; two generations of ``CACHE`` are kept.
     """
 
-    _kept: dict[str, WordEncoder] = {}
-
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return kept("token_files", path, cls)
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -100,7 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, files, place, name = WordEncoder.of(where), None, "", ""
         end, size, at, offsets, ids = np.array([end_id], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize, 0, [0], []
-        for part in slices(batches):
+        for part in slices(batches, operator="token_files"):
             if files is None:
                 store, place = _open(folder)
                 store.create_dir(place, recursive=True)
