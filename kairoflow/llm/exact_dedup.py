@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairoflow.session import materialize
+
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 
 
@@ -39,17 +41,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     empty table gives no rows; other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    # A digest shared by different chunks cannot name them: documents are then compared whole.
+    verified = ambiguous_chunks(docs, text, least, most).isEmpty()
+    parts = F.transform(chunk_column(body, least, most), lambda c: F.unhex(F.sha2(c.cast("binary"), 256)))
     recipes = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.sha2(body.cast("binary"), 256).alias("text_sha256"),
-        F.transform(chunk_column(body, least, most), lambda c: F.unhex(F.sha2(c.cast("binary"), 256))).alias("recipe"),
-        body.alias("body"),
+        (parts if verified else F.array(body.cast("binary"))).alias("recipe"),
     )
-    # A digest shared by different chunks cannot name them: documents are then compared whole.
-    verified = ambiguous_chunks(docs, text, least, most).isEmpty()
-    recipes = recipes.withColumn("recipe", F.col("recipe") if verified else F.array(F.col("body").cast("binary"))).drop("body")
+    # Both sides of the join are written tables, so a recipe of very many rows can be split there.
+    recipes = materialize(recipes, "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    joined = recipes.join(groups, "recipe", "left")
+    joined = recipes.join(materialize(groups, "groups"), "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
@@ -62,10 +65,15 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat another row's text; all columns as they are."""
+    """``docs`` without the rows that repeat another row's text; all columns as they are.
+
+    Rows are told apart by doc_id and text: a row goes only if its own text stays under another
+    doc_id, so a repeated doc_id with a text of its own loses nothing.
+    """
     found = exact_duplicates(docs, doc_id, text)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    own = F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256)
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (own == gone["_gone_text"]), "left_anti")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
