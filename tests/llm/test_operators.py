@@ -296,6 +296,37 @@ def test_near_copies_however_they_differ(spark):
     assert got == truth
 
 
+def test_near_copies_in_chains(spark, monkeypatch):
+    """Chains whose ends are unlike, in which no text is near all others: later rounds must link them."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(6):
+        words = prose(rng, 120).split()
+        for c in range(25):
+            rows.append((rng.randrange(10**9), " ".join(words)))
+            at = (c * 5) % 110
+            words[at : at + 5] = prose(rng, 5).split()
+    truth = slow_groups(rows)
+    assert 6 <= len(set(truth.values())) < 30
+    for rounds in (1, 3):
+        monkeypatch.setattr(near_dups, "ROUNDS", rounds)
+        groups = near_dups.near_groups(table(spark, rows)).collect()
+        assert {i: {r.doc_id: r.component_id for r in groups}.get(i, i) for i in truth} == truth
+        assert sum(r.kept for r in groups) == len({r.component_id for r in groups})
+
+
+def test_drop_forms_tell_rows_of_one_id_apart(spark):
+    rng = random.Random(14)
+    near = prose(rng, 90)
+    rows = [(5, "A"), (6, "A"), (5, "B"), (8, near), (8, near + " more"), (8, "text of its own"), (9, "B"), (9, "B")]
+    exact = exact_dedup.drop_exact_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in exact) == Counter([(6, "A"), (8, near), (8, near + " more"), (8, "text of its own"), (9, "B"), (9, "B")])
+    kept = Counter((r.doc_id, r.text) for r in near_dups.drop_near_duplicates(table(spark, rows)).collect())
+    assert kept[8, near] + kept[8, near + " more"] == 1
+    kept = {k: n for k, n in kept.items() if not k[1].startswith(near)}
+    assert kept == {(5, "A"): 1, (5, "B"): 1, (8, "text of its own"): 1}
+
+
 # -- 8 and 9 --------------------------------------------------------------------------------------
 
 
