@@ -25,7 +25,7 @@ RULES = (
 #: Up to so many rules are compiled into one expression; more are joined by host suffix.
 INLINE_RULES = 256
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?(?:[^\"'>]*\s)?canonical(?=[\s\"'/>]))[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -41,9 +41,10 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What makes two urls one page: host, path and query, without scheme and fragment."""
+    """What makes two urls one page: host, path and query, without scheme and fragment; null for a
+    null url or one without ``://``, which is no page that anything could link."""
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit(""))
-    return F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest))
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
 def _inline(host: Column, path: Column, rules) -> Column:
@@ -84,10 +85,11 @@ def judge_urls(urls: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): canonical and meta-refresh targets of pages; targets without a host are relative."""
+    """(u, v): all canonical and meta-refresh targets of pages; targets without a host are relative.
+    Pages without a url of their own have no links."""
     source = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    targets = F.array_compact(F.array(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (_LINK, _REFRESH)]))
-    found = source.select(F.col(url).alias("_url"), F.explode(targets).alias("_to"))
+    targets = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in (_LINK, _REFRESH)])
+    found = source.where(F.contains(F.col(url), F.lit("://"))).select(F.col(url).alias("_url"), F.explode(targets).alias("_to"))
     origin = F.concat(F.lit("x://"), host_of(F.col("_url")))
     folder = F.regexp_extract(path_of(F.col("_url")), r"^(.*/)", 1)
     to = F.col("_to")
@@ -103,7 +105,8 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None, p
 
     verdict: the rule's; else allow if any alias has an explicit allow, else block if any alias is
     blocked, else allow. ``via`` tells which (rule, alias, default). ``edges`` (u, v as nodes)
-    replaces the links found in html. Null urls have empty host and path and get the default.
+    replaces the links found in html. Null urls and urls without ``://`` have empty host and path, are
+    no alias of anything and get the default.
     Repeated rows are judged each; an empty table gives no rows; other columns are not read.
     """
     judged = judge_urls(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), rules).withColumn("node", node_of(F.col("url")))
@@ -132,14 +135,14 @@ ORACLE = {
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES {_RULE_ROWS}),
 u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{_SQL_SPLIT}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
   coalesce(regexp_extract(url, '{_SQL_SPLIT}', 2), '') AS path,
-  coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*([^#]*)', 1), '') AS rest, html FROM pages),
-n AS (SELECT *, host || CASE WHEN rest = '' THEN '/' ELSE rest END AS node FROM u),
-links AS (SELECT node, unnest([regexp_extract(html, '(?i)<link[^>]*rel=.canonical.[^>]*href=.([^"'' >]+)', 1), regexp_extract(html, '(?i)<meta[^>]*http-equiv=.refresh.[^>]*url=([^"'' >]+)', 1)]) AS to_url FROM n),
+  coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*([^#]*)', 1), '') AS rest, html, url AS whole FROM pages),
+n AS (SELECT *, CASE WHEN whole LIKE '%://%' THEN host || CASE WHEN rest = '' THEN '/' ELSE rest END END AS node FROM u),
+links AS (SELECT node, unnest(regexp_extract_all(html, '(?i)<link[^>]*rel=.canonical.[^>]*href=.([^"'' >]+)', 1) || regexp_extract_all(html, '(?i)<meta[^>]*http-equiv=.refresh.[^>]*url=([^"'' >]+)', 1)) AS to_url FROM n WHERE node IS NOT NULL),
 edges AS (SELECT DISTINCT node AS a, translate(regexp_extract(to_url, '{_SQL_SPLIT}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}')
   || CASE WHEN regexp_extract(to_url, '^(?s:.)*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(to_url, '^(?s:.)*?://[^/?#]*([^#]*)', 1) END AS b FROM links WHERE to_url LIKE '%://%'),
 sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
-hits AS (SELECT n.node, r.verdict, r.h || r.p AS rule FROM (SELECT node, host, path FROM n UNION SELECT b, split_part(b, '/', 1), regexp_extract(substr(b, strpos(b, '/')), '^([^?#]*)', 1) FROM sides) n, rules r
+hits AS (SELECT n.node, r.verdict, r.h || r.p AS rule FROM (SELECT node, host, path FROM n WHERE node IS NOT NULL UNION SELECT b, split_part(b, '/', 1), regexp_extract(substr(b, strpos(b, '/')), '^([^?#]*)', 1) FROM sides) n, rules r
   WHERE (n.host = r.h OR n.host LIKE '%.' || r.h) AND starts_with(n.path, r.p)),
 best AS (SELECT node, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM hits GROUP BY node),
 inherited AS (SELECT r.a AS node, CASE WHEN bool_or(b.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach r JOIN best b ON b.node = r.b GROUP BY r.a)
