@@ -31,9 +31,10 @@ _MANIFEST = "first_doc long, name string, n_docs long, n_ids long, dtype string"
 
 
 class WordEncoder:
-    """The tokenizers library behind a cache of whitespace-free chunks.
+    """The tokenizers library, as it is by default, behind a cache of whitespace-free chunks.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
+    Special tokens that stand in a text get their own ids, as the library does; they hold no white
+    space. The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
     chunks in order. Chunks are cut at ASCII white space; two generations of ``CACHE`` are kept.
     """
 
@@ -46,7 +47,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if max(self.tokenizer.get_vocab_size() - 1, END) < 1 << 16 else "<u4"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -167,7 +167,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     )
 
     files = manifest.select("name", "base", "dtype")
-    return files.repartition("name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many tasks as file sets: without a number, adaptive execution would put these few short rows into one.
+    return files.repartition(max(1, manifest.count()), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
