@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from tokenizers import Tokenizer
 
 from kairoflow.llm import _bloom, bpe, near_dups, quality, simhash, suffix_array, token_files, toxicity
 from kairoflow.llm._batches import slices
@@ -54,8 +55,13 @@ def test_bpe_caches_turn_over(tokenizer, monkeypatch):
 
 def test_word_tokenizer_equals_the_library():
     encoder = token_files.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
-    plain = [e.ids for e in encoder.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
-    assert [np.frombuffer(g, encoder.dtype).tolist() for g in encoder.encode([t.encode() for t in TEXTS])] == plain
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = TEXTS + [f"a {x} b{x}c {x.upper()} {x[:-1]}" for x in special]
+    texts += ["".join(rng.choice(["a", "B.", "it's", "é1", " ", "\n", "\t", "\u00a0", "\x1c", "\u2028", *special]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    plain = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, encoder.dtype).tolist() for g in encoder.encode([t.encode() for t in texts])] == plain
 
 
 def slow_simhash(text):
