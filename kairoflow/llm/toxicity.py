@@ -30,8 +30,10 @@ SIZE, HIDDEN = 8, 8
 #: Character n-grams of these lengths, word ends marked.
 LENGTHS = (3, 4, 5)
 #: Labelled rows the network is trained on at most: those with the least hash of their doc_id. All of their windows are.
-MAX_TRAIN = 2000
-EPOCHS, RATE, BATCH = 8, 0.01, 256
+MAX_TRAIN = 4000
+EPOCHS, RATE, BATCH = 4, 0.01, 256
+#: Small training sets are read more often, up to so many steps in all or so many times.
+STEPS, MOST_EPOCHS = 400, 24
 #: Windows that run through the recurrence at once.
 _AT_ONCE = 8192
 
@@ -238,7 +240,7 @@ def _some(x: Inputs, rows: np.ndarray) -> Inputs:
     return Inputs(x.word[used], x.grams[at], np.concatenate([[0], np.cumsum(size)]), windows, x.text[rows], x.n)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = 0) -> Network:
     """Train on texts and 0/1 labels; no or one class: the network scores that class always.
 
     Windows carry their text's label. After two epochs windows of label-1 texts that the network
@@ -255,6 +257,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         parts.append((prepare(part), labels[at : at + part.num_rows]))
         at += part.num_rows
     rare = max(1.0, min(8.0, float((labels == 0).sum()) / max(1, (labels == 1).sum())))
+    if epochs is None:
+        steps = sum(-(-len(x.text) // BATCH) for x, _ in parts)
+        epochs = max(EPOCHS, min(MOST_EPOCHS, STEPS // steps))
     for epoch in range(epochs):
         rate = RATE * (1 - 0.9 * epoch / epochs)
         for i in rng.permutation(len(parts)):
