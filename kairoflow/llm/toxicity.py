@@ -33,7 +33,7 @@ LENGTHS = (3, 4, 5)
 MAX_TRAIN = 4000
 EPOCHS, RATE, BATCH = 4, 0.01, 256
 #: Small training sets are read more often, up to so many steps in all or so many times.
-STEPS, MOST_EPOCHS = 400, 24
+STEPS, MOST_EPOCHS = 100, 8
 #: Windows that run through the recurrence at once.
 _AT_ONCE = 8192
 
