@@ -11,3 +11,7 @@ class CriterionError(ValueError):
 
 class ChartError(ValueError):
     """A chart's data breaks one of its guards."""
+
+
+class IncompleteMatrixError(ValueError):
+    """A distance matrix lacks distances that an operation needs."""

@@ -56,6 +56,13 @@ def describe(pool: Pool, by_id_: bool = True) -> DataFrame:
     return row.select(F.explode(lines).alias("s")).select("s.*")
 
 
+def add_description(pool: Pool, separator: str = "_", prefix: str = "") -> Pool:
+    """The pool with each id's description as static features; features of those names are replaced."""
+    found = describe(pool)
+    named = found.select(pool.id_name, *[F.col(c).alias(f"{prefix}{separator if prefix else ''}{c}") for c in found.columns if c != pool.id_name])
+    return pool.add_static_features(named, overwrite=True)
+
+
 def survival_target(pool: Pool, endpoint_time: str, occurred: str | None = None, censure_time: str | None = None) -> DataFrame:
     """id, occurred, time: from the reference date to the endpoint, or to the censoring date.
 
@@ -123,4 +130,4 @@ def compatible(one: Pool, other: Pool) -> list[str]:
     return why
 
 
-__all__ = ["describe", "survival_target", "metadata", "feature_statistics", "compatible"]
+__all__ = ["add_description", "describe", "survival_target", "metadata", "feature_statistics", "compatible"]

@@ -8,6 +8,7 @@ partition by ``_id``, so one exchange serves a chain of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -126,6 +127,29 @@ class Pool:
     def __getitem__(self, key) -> "Pool":
         return self.sequence(key)
 
+    def keys(self) -> Iterator:
+        """The ids in order, fetched partition by partition."""
+        return (r[0] for r in self.ids().orderBy(ID).toLocalIterator())
+
+    def items(self) -> "Iterator[tuple[object, Pool]]":
+        """Each id with its own pool, which is read when it is used."""
+        return ((key, self.sequence(key)) for key in self.keys())
+
+    def values(self) -> "Iterator[Pool]":
+        return (pool for _, pool in self.items())
+
+    def __iter__(self) -> Iterator:
+        return self.keys()
+
+    def __len__(self) -> int:
+        return self.ids().count()
+
+    def __bool__(self) -> bool:
+        return True
+
+    def __contains__(self, key) -> bool:
+        return not self.ids().where(F.col(ID) == F.lit(key)).isEmpty()
+
     def row(self, key, rank: int):
         """One row of one sequence by dense rank; negative ranks count from the end."""
         order = F.col(RANK) if rank >= 0 else F.col(RANK).desc()
@@ -295,10 +319,16 @@ class Pool:
 
         return as_state(self, end_value)
 
-    def describe(self, by_id: bool = True) -> DataFrame:
-        from kairoflow.operators.description import describe
+    def describe(self, by_id: bool = True, add_to_static: bool = False, separator: str = "_", prefix: str = "") -> "DataFrame | Pool":
+        """The description of ``description.describe``; with ``add_to_static`` the pool that has it as
+        static features, named with ``prefix`` and ``separator`` where a prefix is given."""
+        from kairoflow.operators.description import add_description, describe
 
-        return describe(self, by_id)
+        if not add_to_static:
+            return describe(self, by_id)
+        if not by_id:
+            raise ValueError("only a description by id can be static features")
+        return add_description(self, separator, prefix)
 
     def survival_target(self, endpoint_time: str, occurred: str | None = None, censure_time: str | None = None) -> DataFrame:
         from kairoflow.operators.description import survival_target

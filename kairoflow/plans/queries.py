@@ -1,7 +1,7 @@
 """One query for each operator family, with DuckDB SQL that gives the same rows.
 
-Pair queries and clusterers run over all ids. Those whose SQL has ``WHERE id < 40`` keep that subset as
-the part that is held against SQL; each has a query of the same name with ``_all`` over every id.
+Pair queries and clusterers run over all ids, and so does their SQL. Dynamic programs other than
+the unit-cost edit distance and the clusterers have no SQL; tests hold them against plain programs.
 """
 
 from __future__ import annotations
@@ -310,14 +310,7 @@ def _(spark, sf):
 # -- sets --------------------------------------------------------------------------------------
 
 
-@query("extend_skip", f"WITH {E}, {O} SELECT id, ts FROM e WHERE id < 40 UNION ALL SELECT id, ts FROM o WHERE id NOT IN (SELECT id FROM e WHERE id < 40)")
-def _(spark, sf):
-    one, two = p.events(spark, sf), p.orders(spark, sf)
-    joined = one.subset(one.ids().where("_id < 40")).extend(two, on_duplicate="skip")
-    return joined.entity.select(F.col(ID).alias("id"), F.col("_t").alias("ts"))
-
-
-@query("extend_skip_all")
+@query("extend_skip", f"WITH {E}, {O} SELECT id, ts FROM e UNION ALL SELECT id, ts FROM o WHERE id NOT IN (SELECT id FROM e)")
 def _(spark, sf):
     joined = p.events(spark, sf).extend(p.orders(spark, sf), on_duplicate="skip")
     return joined.entity.select(F.col(ID).alias("id"), F.col("_t").alias("ts"))
@@ -363,26 +356,14 @@ def _(spark, sf):
 
 # -- distances ---------------------------------------------------------------------------------
 
-#: The ids that the SQL of the pair queries names.
-_FEW = 40
-_F = E + f", q AS (SELECT * FROM e WHERE id < {_FEW})"
+_F = E + ", q AS (SELECT * FROM e)"
 _TYPE = Hamming("event_type")
 
 
-def _few(spark, sf):
-    pool = p.events(spark, sf)
-    return pool.subset(pool.ids().where(F.col(ID) < _FEW))
-
-
 _CHARS = _F + ", v AS (SELECT event_type, chr(96 + dense_rank() OVER (ORDER BY event_type)::INT) AS c FROM (SELECT DISTINCT event_type FROM q)), t AS (SELECT id, string_agg(c, '' ORDER BY r) AS s FROM q JOIN v USING (event_type) GROUP BY id)"
 
 
 @query("dist_edit", f"WITH {_CHARS} SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.s, b.s)::DOUBLE AS distance FROM t a JOIN t b ON a.id < b.id")
-def _(spark, sf):
-    return Edit(_TYPE).between(_few(spark, sf), None)
-
-
-@query("dist_edit_all")
 def _(spark, sf):
     return Edit(_TYPE).between(p.events(spark, sf), None)
 
@@ -391,43 +372,22 @@ _PAIRS = "k AS (SELECT a.id AS id_a, b.id AS id_b, a.r, a.event_type AS ta, b.ev
 
 
 @query("dist_linear", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, round(avg((ta <> tb)::INT), 9) AS distance FROM k GROUP BY ALL")
-def _(spark, sf):
-    return LinearPairwise(_TYPE).between(_few(spark, sf), None).withColumn("distance", F.round("distance", 9))
-
-
-@query("dist_linear_all")
 def _(spark, sf):
     return LinearPairwise(_TYPE).between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 9))
 
 
 @query("dist_l2", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, round(sum(CASE WHEN va * va + vb * vb > 0 THEN (va - vb) ** 2 / (va * va + vb * vb) ELSE 0 END), 6) AS distance FROM k GROUP BY ALL")
-def _(spark, sf):
-    return LinearPairwise(SquaredL2("value"), agg="sum").between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
-
-
-@query("dist_l2_all")
 def _(spark, sf):
     return LinearPairwise(SquaredL2("value"), agg="sum").between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
 @query("dist_combined", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, round(avg((0.7 * (ta <> tb)::INT + 0.3 * CASE WHEN va * va + vb * vb > 0 THEN (va - vb) ** 2 / (va * va + vb * vb) ELSE 0 END)), 6) AS distance FROM k GROUP BY ALL")
-def _(spark, sf):
-    metric = Combined((_TYPE, SquaredL2("value")), (0.7, 0.3))
-    return LinearPairwise(metric).between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
-
-
-@query("dist_combined_all")
 def _(spark, sf):
     metric = Combined((_TYPE, SquaredL2("value")), (0.7, 0.3))
     return LinearPairwise(metric).between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
 @query("dist_lcp", f"WITH {_F}, {_PAIRS} SELECT id_a, id_b, (any_value(na) + any_value(nb) - 2 * coalesce(min(CASE WHEN ta <> tb THEN r END), any_value(m)))::DOUBLE AS distance FROM k GROUP BY id_a, id_b")
-def _(spark, sf):
-    return LCP(_TYPE).between(_few(spark, sf), None)
-
-
-@query("dist_lcp_all")
 def _(spark, sf):
     return LCP(_TYPE).between(p.events(spark, sf), None)
 
@@ -435,30 +395,21 @@ def _(spark, sf):
 @query("dist_chi2", f"""WITH {_F}, h AS (SELECT id, event_type, count(*) / any_value(n) AS s FROM q GROUP BY id, event_type), u AS (SELECT a.id AS id_a, b.id AS id_b FROM (SELECT DISTINCT id FROM q) a JOIN (SELECT DISTINCT id FROM q) b ON a.id < b.id),
 c AS (SELECT id_a, id_b, y.event_type, coalesce(h1.s, 0) AS pa, coalesce(h2.s, 0) AS pb FROM u CROSS JOIN (SELECT DISTINCT event_type FROM q) y LEFT JOIN h h1 ON h1.id = id_a AND h1.event_type = y.event_type LEFT JOIN h h2 ON h2.id = id_b AND h2.event_type = y.event_type)
 SELECT id_a, id_b, round(sqrt(sum(CASE WHEN pa + pb > 0 THEN (pa - pb) ** 2 / (pa + pb) ELSE 0 END)), 6) AS distance FROM c GROUP BY id_a, id_b""")
-def _(spark, sf):
-    return Chi2(feature="event_type").between(_few(spark, sf), None).withColumn("distance", F.round("distance", 6))
-
-
-@query("dist_chi2_all")
 def _(spark, sf):
     return Chi2(feature="event_type").between(p.events(spark, sf), None).withColumn("distance", F.round("distance", 6))
 
 
-@query("dist_static", f"SELECT a.c_custkey::BIGINT AS id_a, b.c_custkey::BIGINT AS id_b, (a.c_mktsegment <> b.c_mktsegment OR a.c_nationkey <> b.c_nationkey)::INT::DOUBLE AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey WHERE a.c_custkey < {_FEW} AND b.c_custkey < {_FEW}")
-def _(spark, sf):
-    static = p.customers(spark, sf).where(F.col("id") < _FEW).select(F.col("id").alias(ID), "c_mktsegment", "c_nationkey")
-    return StaticMetric().of(static)
-
-
-@query("dist_static_all")
+@query("dist_static", "SELECT a.c_custkey::BIGINT AS id_a, b.c_custkey::BIGINT AS id_b, (a.c_mktsegment <> b.c_mktsegment OR a.c_nationkey <> b.c_nationkey)::INT::DOUBLE AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey")
 def _(spark, sf):
     return StaticMetric().of(p.customers(spark, sf).select(F.col("id").alias(ID), "c_mktsegment", "c_nationkey"))
 
 
-@query("dist_aggregation")
+@query("dist_aggregation", f"""WITH {_CHARS}, {O}, d AS (SELECT a.id AS id_a, b.id AS id_b, 2.0 AS w, levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)) AS d FROM t a JOIN t b ON a.id < b.id
+UNION ALL SELECT a.id, b.id, 1.0, avg((a.o_orderstatus <> b.o_orderstatus)::INT) FROM o a JOIN o b ON a.id < b.id AND a.r = b.r GROUP BY a.id, b.id)
+SELECT id_a, id_b, round(sum(w * d) / sum(w), 6) AS distance FROM d GROUP BY id_a, id_b""")
 def _(spark, sf):
     t = p.trajectories(spark, sf)
-    return Aggregation({"events": Edit(_TYPE, normalize=True), "orders": LinearPairwise(Hamming("o_orderstatus"))}, weights={"events": 2.0}).matrix(t).pairs
+    return Aggregation({"events": Edit(_TYPE, normalize=True), "orders": LinearPairwise(Hamming("o_orderstatus"))}, weights={"events": 2.0}).matrix(t).pairs.withColumn("distance", F.round("distance", 6))
 
 
 @query("dist_lcs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,11 +39,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). A temporary one stands in where that is
+    unset and everything runs in this one process; a cluster must name its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
+    if not re.match(r"local(\[[^]]*\])?$", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(sc, "_kairoflow_shared", None):
         sc._kairoflow_shared = f"file://{tempfile.mkdtemp(prefix='kairoflow-')}"
     return sc._kairoflow_shared
@@ -53,11 +57,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """Have an existing path deleted when the driver's JVM ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, executors may go."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, executors may go.
+    ``discard`` deletes the files; what is left of them goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kairoflow_path = path
     return out

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoflow.cluster import CLARA, PAM, Hierarchical, agglomerate, pam
+from kairoflow.errors import IncompleteMatrixError
 from kairoflow.metrics import DTW, LCP, LCS, Aggregation, Chi2, Edit, Hamming, LinearPairwise, SequenceMetric, SoftDTW, SquaredL2, StaticMetric, metric, resumable
+from kairoflow.metrics.matrix import DistanceMatrix
 from kairoflow.operators import build_events, build_trajectories
 from kairoflow.operators.pool import ID
 
@@ -120,6 +122,53 @@ def test_matrix_forms_and_resume(pool, tmp_path):
     assert own.to_numpy()[0][2, 2] < 0
 
 
+def test_configs_round_trip_through_json():
+    import json
+
+    from kairoflow.metrics import Combined, EntityMetric
+
+    class Apart(EntityMetric):
+        """A metric of the caller's own."""
+
+        def __init__(self, feature):
+            self.feature = feature
+
+        def to_config(self):
+            return {"type": "Apart", "feature": self.feature}
+
+    row = Combined((Hamming("status", cost=(("A", "B", 0.5),)), SquaredL2("value")), (0.7, 0.3), "mean")
+    for made in (Chi2(feature="status"), Edit(row, indel=2.0), SoftDTW(SquaredL2("value"), gamma=0.5)):
+        assert SequenceMetric.from_config(json.loads(json.dumps(made.to_config()))) == made
+    assert SequenceMetric.from_config(Edit(Apart("status")).to_config()).entity.feature == "status"
+
+
+def test_unknown_distances_are_not_zero(pool, spark, tmp_path):
+    m = DTW(Hamming("status")).matrix(pool)
+    square, _ = m.to_numpy()
+    assert np.isnan(square[0, 2]) and square[0, 0] == 0 and square[2, 3] == square[3, 2] >= 0
+    assert m.missing() == 5 and Edit(Hamming("status")).matrix(pool).check_complete().missing() == 0
+    with pytest.raises(IncompleteMatrixError):
+        m.check_complete()
+    with pytest.raises(IncompleteMatrixError):
+        PAM(DTW(Hamming("status"))).labels(pool)
+    assert DistanceMatrix.empty(pool.ids()).missing() == 6
+    back = DistanceMatrix.from_path(spark, SoftDTW(Hamming("status")).matrix(pool).save(str(tmp_path / "m")))
+    assert back.own is not None and back.ids.count() == 4
+
+
+def test_resuming_notices_other_rows(pool, tmp_path):
+    one = resumable(Edit(Hamming("status")), pool, str(tmp_path / "m"), blocks=2).to_numpy()[0]
+    fewer = build_events(pool.entity.where("_rank < 1").select(F.col(ID).alias("id"), F.col("_t").alias("t"), "status", "value"), "id", "t", static=pool.static.withColumnRenamed(ID, "id"))
+    two = resumable(Edit(Hamming("status")), fewer, str(tmp_path / "m"), blocks=2).to_numpy()[0]
+    assert one[0, 3] == 3 and two[0, 3] == 1
+
+
+def test_many_categories_take_the_general_program(pool, monkeypatch):
+    monkeypatch.setattr(Edit, "MOST_LEVELS", 2)
+    got = {(r.id_a, r.id_b): r.distance for r in Edit(Hamming("status")).between(pool, None).collect()}
+    assert got["seq_1", "seq_2"] == 1 and len(got) == 6
+
+
 def test_trajectory_mix(pool, spark):
     t = build_trajectories({"a": pool, "b": pool}, pool.static.withColumnRenamed(ID, "id"), "id")
     mix = Aggregation({"a": Edit(Hamming("status")), "b": DTW(Hamming("status"))}, StaticMetric(), weights={"a": 2.0})

@@ -153,6 +153,38 @@ def test_describe_and_survival(states, events):
     assert events.metadata()["features"]["label"]["min_length"] == 1
 
 
+def test_description_as_static(states, events):
+    more = events.describe(add_to_static=True, prefix="d")
+    assert {r["_id"]: r.d_length for r in more.static.collect()} == {1: 3, 2: 2, 3: 1, 9: 0} and "age" in more.static_features
+    assert more.describe(add_to_static=True, prefix="d").static_features == more.static_features
+    with pytest.raises(ValueError):
+        events.describe(by_id=False, add_to_static=True)
+    both = build_trajectories({"a": events, "b": events}).describe(add_to_static=True)
+    assert {r["_id"]: (r.a_length, r.n_sequences) for r in both.static.collect()}[1] == (3, 2)
+
+
+def test_navigation(events):
+    assert list(events) == [1, 2, 3, 9] and len(events) == 4 and 2 in events and 7 not in events and bool(events.subset([7]))
+    assert {key: pool.entity.count() for key, pool in events.items()} == {1: 3, 2: 2, 3: 1, 9: 0}
+    assert [pool.entity.count() for pool in events.values()] == [3, 2, 1, 0]
+    both = build_trajectories({"a": events, "b": events})
+    assert {r.id: r.n for r in both.apply("a", by_id=True, n=F.count("*")).collect()} == {1: 3, 2: 2, 3: 1}
+    assert both.cast_to_timestep("int").pools["b"].entity.schema["_t"].dataType.typeName() == "integer"
+    assert both.cast_to_datetime("s").pools["a"].is_datetime
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from kairoflow.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
+
+
 def test_features(events, spark):
     dummies = events.cast_features({"label": "categorical"}).to_dummies("label", drop_first=True)
     assert [c for c in dummies.columns if c.startswith("label")] == ["label_B", "label_C"]
