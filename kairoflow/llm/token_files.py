@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kairoflow.llm._batches import kept, slices, two_columns
-from kairoflow.session import materialize, new_folder, ship
+from kairoflow.session import delete_at_end, materialize, new_folder, ship
 
 CACHE = 500_000
 END = 2
@@ -173,4 +173,6 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
-    return read_token_files(write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder), folder)
+    manifest = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    delete_at_end(spark, folder)
+    return read_token_files(manifest, folder)

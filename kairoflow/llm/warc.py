@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoflow.session import new_folder
+from kairoflow.session import delete_at_end, new_folder
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BLANK = "\r\n\r\n"
@@ -136,6 +136,7 @@ def parse_warc(data: bytes):
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark, "warc"))
+    delete_at_end(spark, path)
     # What the query reports of a payload is taken from its stored bytes, once, before the join.
     payload = F.col("payload")
     facts = spark.read.parquet(f"{path}/payloads").select("content", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_of_sha1(payload).alias("payload_digest"))
