@@ -27,6 +27,8 @@ from kairoflow.session import delete_at_end, materialize, new_folder, ship
 
 CACHE = 500_000
 END = 2
+#: Bytes of text whose new words are encoded in one call.
+ENCODE_SLICE = 2 << 20
 _MANIFEST = "first_doc long, name string, n_docs long, n_ids long, dtype string"
 
 
@@ -96,7 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, files, place, name = WordEncoder.of(where), None, "", ""
         end, size, at, offsets, ids = np.array([end_id], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize, 0, [0], []
-        for part in slices(batches, operator="token_files"):
+        for part in slices(batches, most=ENCODE_SLICE, operator="token_files"):
             if files is None:
                 store, place = _open(folder)
                 store.create_dir(place, recursive=True)
