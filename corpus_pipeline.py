@@ -2,7 +2,9 @@
 
 1. quality classifier: documents that the model rejects go;
 2. exact dedup: of equal texts the largest doc_id stays;
-3. SimHash near-dedup: of each group of near copies (five-word shingles, 0.8) the least doc_id stays;
+3. SimHash near-dedup: of each group of near copies the least doc_id stays. Texts whose fingerprints,
+   as operator 6 has them, differ in 2 or fewer bits are near copies, and so are texts whose five-word
+   shingles have a Jaccard similarity of 0.8, of which fingerprints alone would miss most;
 4. benchmark decontamination: documents that overlap with a benchmark item go;
 5. byte-level BPE: the documents left, as token ids and their digests.
 
@@ -18,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kairoflow.llm import bpe, decontamination, exact_dedup, near_dups, quality
 from kairoflow.session import materialize
 
+#: Differing bits up to which two fingerprints are near copies; operator 6 has the same limit.
+SIMHASH_BITS = 2
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -29,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.drop_near_duplicates(docs)
+    return near_dups.drop_near_duplicates(docs, bits=SIMHASH_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near copies at a given Jaccard similarity of word shingles, found through MinHash bands.
+"""Near copies by SimHash, and at a given Jaccard similarity of word shingles through MinHash bands.
+
+Given a number of bits, rows whose operator-6 fingerprints differ in as many or fewer are linked,
+all of them (``simhash.near_pairs``). Such fingerprints miss most pairs at a similarity of 0.8, which
+differ in some ten of 64 bits, so the links by similarity are taken too; a group is what both connect.
 
 Candidates must depend on the similarity alone, not on where two texts differ or how often they
 repeat a passage. Each document's shingle set gives ``BANDS`` keys of ``ROWS`` minimum hashes; two
@@ -25,6 +29,7 @@ from kairoflow.llm import _bloom
 from kairoflow.llm._batches import slices, two_columns
 from kairoflow.llm._components import connected_components
 from kairoflow.llm._words import LOWER, SPACE, Words, mix
+from kairoflow.llm.simhash import fingerprints, near_pairs
 from kairoflow.session import discard, materialize, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -77,16 +82,17 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return two_columns(docs, doc_id, text).where("doc_id is not null").withColumn("sig", F.xxhash64("doc_id", "text"))
 
 
-def _sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, doc_id: str, text: str, width: int, prints: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingles(part, width)
             keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(sets).view(np.int64).ravel()))
             name = set_digests(sets).view(np.int64)
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), sizes, keys], ["doc_id", "sig", "h1", "h2", "n", "keys"])
+            fps = pa.array(fingerprints(part).view(np.int64)) if prints else pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), fps, sizes, keys], ["doc_id", "sig", "h1", "h2", "fp", "n", "keys"])
 
-    return _keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, sig long, h1 long, h2 long, n int, keys array<long>")
+    return _keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, sig long, h1 long, h2 long, fp long, n int, keys array<long>")
 
 
 def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -152,9 +158,27 @@ def _links(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int
     return links
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _simhash_links(rows: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """(u, v): enough of the links between nodes with fingerprints at ``bits`` or fewer differing bits."""
+    own = rows.select("fp", "h1", "h2").distinct().join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("fp", "node")
+    own = materialize(own, "prints")
+    # A fingerprint's nodes are linked to the least of them, which stands for the fingerprint.
+    heads = materialize(own.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("members")), "heads")
+    same = own.join(heads.where("members > 1"), "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    near = near_pairs(heads.select("fp"), bits).withColumnsRenamed({"u": "x", "v": "y"})
+    near = near.join(heads.select(F.col("fp").alias("x"), F.col("head").alias("u")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("v")), "y")
+    links = materialize(same.unionByName(near.where("u <> v").select("u", "v")), "near")
+    for table in (own, heads):
+        discard(table)
+    return links
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
     """(doc_id, sig, component_id, kept): the rows that have a near copy or an equal.
 
+    Near copies are rows at ``similarity`` or more and, where ``bits`` (0 to 2) is given, also those
+    whose SimHash fingerprints, as operator 6 has them, differ in ``bits`` or fewer.
+
     component_id is the least doc_id of the group; kept is true for the one row of the group that
     stays, that of the least (doc_id, sig), sig being ``xxhash64(doc_id, text)``. Words are runs
     without white space, A-Z lower-cased. Null and empty texts count as texts without words, which
@@ -163,12 +187,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     only have larger sets. An empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    rows = materialize(_sketches(docs, doc_id, text, width), "sketches")
+    rows = materialize(_sketches(docs, doc_id, text, width, bits is not None), "sketches")
     # A node is a distinct shingle set; its number is written before it is used.
     first = F.min(F.struct("doc_id", "sig"))
     nodes = rows.groupBy("h1", "h2").agg(first.alias("f"), F.max(F.struct("doc_id", "sig")).alias("t"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "f.doc_id", "f.sig", (F.col("f") != F.col("t")).alias("shared"), "n", "keys"), "nodes")
     links = _links(nodes, docs, doc_id, text, width, similarity)
+    if bits is not None:
+        prints = _simhash_links(rows, nodes, bits)
+        both = materialize(links.unionByName(prints), "both")
+        discard(links)
+        discard(prints)
+        links = both
     parts = connected_components(links).withColumnRenamed("component", "c")
     named = nodes.select("node", "h1", "h2", "doc_id", "sig", "shared").join(parts, "node", "left").where(F.col("c").isNotNull() | F.col("shared")).withColumn("c", F.coalesce("c", "node"))
     named = materialize(named, "named")
@@ -182,10 +212,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return groups
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies alone, as ``near_groups`` defines it; rows
     that repeat that row's doc_id and text stay beside it. All columns as they are."""
-    gone = near_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig"))
+    gone = near_groups(docs, doc_id, text, bits=bits).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig"))
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     sig = F.xxhash64(docs[doc_id].cast("long"), body)
     return docs.join(gone, (docs[doc_id].cast("long") == gone["_gone_id"]) & (sig == gone["_gone_sig"]), "left_anti")

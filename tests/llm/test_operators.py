@@ -330,6 +330,29 @@ def test_near_copies_in_chains(spark):
     assert sum(r.kept for r in groups) == len({r.component_id for r in groups})
 
 
+def test_pipeline_links_by_simhash(spark, sf, empty):
+    """Near copies by fingerprint alone (their shingle sets are unlike), joined with those by similarity."""
+    rng = random.Random(15)
+    rows = []
+    for g in range(8):
+        passage, end = prose(rng, 40), prose(rng, 9)
+        # The same passage many times: fingerprints differ little, whatever follows it.
+        rows += [(10 * g + 3, " ".join([passage] * 60 + [prose(rng, 9)])), (10 * g + 5, " ".join([passage] * 60 + [end]))]
+        # Equal shingle sets, whose fingerprints differ.
+        rows += [(10 * g + 1, " ".join([passage] * 2 + [end])), (10 * g + 7, prose(rng, 60))]
+    got = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_components(table(spark, rows)).collect()}
+    alike = [(a, b) for a, b in itertools.combinations(got, 2) if (got[a] ^ got[b]).bit_count() <= 2]
+    similar = [(i, c) for i, c in slow_groups(rows).items() if i != c]
+    only = components(list(got), alike), components(list(got), similar)
+    both = [i for i in got if i % 10 == 1 and only[0][i + 2] == only[0][i + 4] != only[0][i] and only[1][i + 2] != only[1][i + 4] == only[1][i]]
+    assert len(similar) == 8 and len(both) >= 2
+    truth = components(list(got), alike + similar)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, table(spark, rows), sf).collect()) == sorted(set(truth.values()))
+    groups = {r.doc_id: r.component_id for r in near_dups.near_groups(table(spark, rows), bits=2).collect()}
+    assert {i: groups.get(i, i) for i in truth} == truth
+    assert corpus_pipeline.near_stage(spark, empty, sf).count() == 0
+
+
 def test_drop_forms_tell_rows_of_one_id_apart(spark):
     rng = random.Random(14)
     near = prose(rng, 90)
