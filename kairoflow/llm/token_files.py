@@ -9,6 +9,7 @@ run twice leaves files that nobody looks at. Partition bases are prefix sums ove
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,12 @@ CACHE = 500_000
 END = 2
 #: Bytes of text whose new words are encoded in one call.
 ENCODE_SLICE = 2 << 20
+#: Chunks whose ids are gathered at once.
+_GATHER = 1 << 18
+#: The word pattern for which ``_plain_words`` holds: letters are one token, marks behind them another.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII marks without the apostrophe, which opens tokens with letters, and without those of special tokens.
+_MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 _MANIFEST = "first_doc long, name string, n_docs long, n_ids long, dtype string"
 
 
@@ -37,7 +45,9 @@ class WordEncoder:
 
     Special tokens that stand in a text get their own ids, as the library does; they hold no white
     space. The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
-    chunks in order. Chunks are cut at ASCII white space; two generations of ``CACHE`` are kept.
+    chunks in order. Chunks are cut at ASCII white space and looked up once a call; two generations of ``CACHE`` are kept. New
+    chunks of Latin letters, with or without marks behind them, need no normal form and no word pattern:
+    they go to the same model without those steps, all others to the tokenizer as it is.
     """
 
     @classmethod
@@ -50,34 +60,93 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if max(self.tokenizer.get_vocab_size() - 1, END) < 1 << 16 else "<u4"
+        self.plain = self._plain_words(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _plain_words(self, path: str):
+        """The model behind lower-casing alone, if the file's steps are those that this is right for; else None."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        full = self.tokenizer
+        steps = [json.loads(x.__getstate__()) if x else {} for x in (full.normalizer, full.pre_tokenizer)]
+        normal, split = steps[0].get("normalizers", []), steps[1].get("pretokenizers", [])
+        kinds = [x["type"] for x in normal + split]
+        special = "".join(x.content for x in full.get_added_tokens_decoder().values())
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or normal[1]["pattern"] != {"Regex": r"\s+"} or split[0]["pattern"] != {"Regex": _SPLIT}:
+            return None
+        if getattr(full.model, "end_of_word_suffix", None) != "</w>" or full.model.dropout or split[1]["add_prefix_space"] or set(special) & set(_MARKS):
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer, plain.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.last = np.zeros(full.get_vocab_size(), bool)
+        self.last[[i for token, i in full.get_vocab().items() if token.endswith("</w>")]] = True
+        return plain
+
+    def _as_it_is(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, in one call: they are told apart by their numbers afterwards."""
+        if not words:
+            return []
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, self.dtype)
+        cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+
+    def _as_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters: each is one word to the model, so its last id is one that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.plain.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+        cut = np.flatnonzero(self.last[ids]) + 1
+        if len(cut) != len(words) or cut[-1] != len(ids):
+            return self._as_it_is(words)
+        data, cut = ids.tobytes(), [0, *(cut * ids.itemsize).tolist()]
+        return [data[x:y] for x, y in zip(cut[:-1], cut[1:])]
+
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         """Bring chunks that aren't in the young cache into it."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         again = missing & self.old.keys()
         self.young.update((c, self.old[c]) for c in again)
-        new = list(missing - again)
-        if new:
-            # One call for all: each chunk is a word of its own, told apart by its number afterwards.
-            got = self.tokenizer.encode([c.decode() for c in new], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))
-            self.young.update((c, ids[x:y].tobytes()) for c, x, y in zip(new, cut[:-1].tolist(), cut[1:].tolist()))
+        chunks, stems, tails, rest = [], [], [], []
+        for c in missing - again:
+            word = c.decode()
+            stem = word.rstrip(_MARKS)
+            if self.plain and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+                chunks.append(c)
+                stems.append(stem)
+                tails.append(word[len(stem) :])
+            else:
+                rest.append(c)
+        marks = list(set(tails) - {""})
+        known = dict(zip(marks, self._as_it_is(marks))) | {"": b""}
+        self.young.update((c, x + known[tail]) for c, x, tail in zip(chunks, self._as_words(stems), tails))
+        self.young.update(zip(rest, self._as_it_is([c.decode() for c in rest])))
         return self.young
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``, without the end id."""
-        parts = [text.split() for text in texts]
-        found = [list(map(self.young.get, part)) for part in parts]
-        holes = [(part, got, [i for i, x in enumerate(got) if x is None]) for part, got in zip(parts, found) if None in got]
-        known = self.learn({part[i] for part, _, at in holes for i in at})
-        for part, got, at in holes:
-            for i in at:
-                got[i] = known[part[i]]
-        return [b"".join(got) for got in found]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        parts = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, chunks))
+        holes = [i for i, x in enumerate(found) if x is None]
+        known = self.learn({chunks[i] for i in holes})
+        for i in holes:
+            found[i] = known[chunks[i]]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends, ids = np.zeros(len(codes) + 1, np.int64), []
+        np.cumsum(sizes[codes], out=ends[1:])
+        for at in range(0, len(codes), _GATHER):
+            code = codes[at : at + _GATHER]
+            shift = starts[code] - ends[at : at + len(code)]
+            ids.append(flat[np.repeat(shift, sizes[code]) + np.arange(ends[at], ends[at + len(code)])].tobytes())
+        data, edges = b"".join(ids), (ends[parts.offsets.to_numpy()] * flat.itemsize).tolist()
+        return [data[x:y] for x, y in zip(edges[:-1], edges[1:])]
 
 
 def _open(folder: str):
@@ -104,7 +173,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
                 store.create_dir(place, recursive=True)
                 name = uuid.uuid4().hex
                 files = store.open_output_stream(f"{place}/{name}.ids")
-            got = encoder.encode(part.column(1).cast(pa.binary()).to_pylist())
+            got = encoder.encode(part.column(1))
             for x in got:
                 files.write(x)
                 files.write(end)

@@ -134,6 +134,22 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty, folder), folder).count() == 0
 
 
+def test_words_encode_as_the_library_does():
+    """Random chunks; those of Latin letters with marks behind them go to the bare model, no others do."""
+    path = token_files.public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, slow = Tokenizer.from_file(path), token_files.WordEncoder(path), set()
+    as_it_is = encoder._as_it_is
+    encoder._as_it_is = lambda words: slow.update(words) or as_it_is(words)
+    rng = random.Random(16)
+    odd = [*"aBéÉßÿĀªµ×1²'.,<|>$_-\u0301\u00a0\x00İﬁ中Σ ", "'s", "'LL", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd if i % 2 else "aBéÉßÿªµ.,$-") for _ in range(rng.randint(0, 12))) for i in range(4000)]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    slow.clear()
+    encoder.encode(["Zebrafinken, überqueren ÉTÉ !! don't x1 Ā".encode()])
+    assert {"!!", "don't", "x1"} <= slow <= {",", "!!", "don't", "x1", "Ā"}
+
+
 # -- 3 ------------------------------------------------------------------------------------------
 
 
