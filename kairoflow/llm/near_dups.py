@@ -84,7 +84,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _sketches(docs: DataFrame, doc_id: str, text: str, width: int, prints: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, operator="near_dups"):
             sets = shingles(part, width)
             keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(sets).view(np.int64).ravel()))
             name = set_digests(sets).view(np.int64)
@@ -101,7 +101,7 @@ def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: in
     bloom = spark.sparkContext.broadcast(_bloom.build(wanted.select(F.col("sig").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, operator="near_dups"):
             at = _bloom.may_hold(bloom.value, part.column(2).to_numpy().view(np.uint64))
             if len(at):
                 part = part.take(pa.array(at))
