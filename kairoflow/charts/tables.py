@@ -10,6 +10,7 @@ from kairoflow.errors import ChartError
 from kairoflow.functions import elapsed, parse_duration
 from kairoflow.functions.columns import literal
 from kairoflow.operators.pool import ID, RANK, Pool
+from kairoflow.session import materialize
 
 MAX_CATEGORIES, MAX_FACETS, MAX_IDS = 30, 20, 30
 
@@ -41,7 +42,11 @@ def _guard(frame: DataFrame, column: str, most: int) -> None:
 
 
 def bar_table(pool: Pool, feature: str, show_as: str = "count", facet: str | None = None, nulls: str = "drop", sort: str = "alphabetic", guard: bool = False) -> DataFrame:
-    """facet, label, value: number of rows, share within the facet, or summed duration (microseconds)."""
+    """facet, label, value: number of rows, share within the facet, or summed duration (microseconds).
+
+    Whole durations are summed as decimals. Sums are long where all fit, else decimal(38,0): the
+    type depends on the sums, so that durations run the aggregation at once.
+    """
     frame = _labelled(pool, feature, facet, nulls)
     if guard:
         _guard(frame, "label", MAX_CATEGORIES)
@@ -49,12 +54,19 @@ def bar_table(pool: Pool, feature: str, show_as: str = "count", facet: str | Non
     if show_as == "duration":
         if pool.kind == "event":
             raise ChartError("events have no duration")
-        value = F.coalesce(F.sum(elapsed(F.col("_start"), F.col("_end"), pool.time_type)), F.lit(0))
+        spent = elapsed(F.col("_start"), F.col("_end"), pool.time_type)
+        if whole := frame.select(spent.alias("x")).schema["x"].dataType.typeName() == "long":
+            spent = spent.cast("decimal(19,0)")
+        value = F.coalesce(F.sum(spent), F.lit(0))
     elif show_as in ("count", "rate"):
         value = F.count("*")
     else:
         raise ValueError("show_as must be count, rate or duration")
     out = frame.groupBy("facet", "label").agg(value.alias("value"))
+    if show_as == "duration" and whole:
+        out = materialize(out.withColumn("value", F.col("value").cast("decimal(38,0)")), "durations")
+        if out.where(F.col("value").try_cast("long").isNull()).isEmpty():
+            out = out.withColumn("value", F.col("value").cast("long"))
     if show_as == "rate":
         out = out.withColumn("value", F.col("value") / F.sum("value").over(Window.partitionBy("facet")))
     order = {"alphabetic": [F.col("label")], "ascending": [F.col("value"), F.col("label")], "descending": [F.col("value").desc(), F.col("label")]}[sort]

@@ -271,3 +271,17 @@ def test_stream(spark, sf, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_long_durations_do_not_overflow(spark):
+    """Sums beyond a long come as exact decimals, others as longs."""
+    from decimal import Decimal
+
+    from kairoflow.charts import bar_table
+    from kairoflow.operators import build_intervals
+
+    rows = [(i, 0, 2**62, "x") for i in range(3)] + [(9, 5, 8, "y")]
+    pool = build_intervals(spark.createDataFrame(rows, "id long, a long, b long, kind string"), "id", "a", "b")
+    assert [tuple(r) for r in bar_table(pool, "kind", show_as="duration").collect()] == [("all", "x", Decimal(3 * 2**62)), ("all", "y", Decimal(3))]
+    short = bar_table(pool.subset([0, 9]), "kind", show_as="duration")
+    assert dict(short.dtypes)["value"] == "bigint" and [r.value for r in short.collect()] == [2**62, 3]
