@@ -11,6 +11,9 @@ from kairoflow.operators.pool import ID, RANK, Pool
 #: More bins are refused unless ``max_bins`` is given.
 MAX_BINS = 2000
 
+#: Rows that one task makes, about.
+ROWS_AT_ONCE = 2_000_000
+
 #: What becomes of several rows in a bin; sums of nothing are 0.
 RULES = {
     "first": lambda c: F.min_by(c, F.col(RANK)), "last": lambda c: F.max_by(c, F.col(RANK)), "mean": F.avg, "max": F.max, "min": F.min,
@@ -57,21 +60,55 @@ def _bin(time: Column, low: Column, size, pool: Pool) -> Column:
     return F.floor(elapsed(low, time, pool.time_type) / F.lit(size)).cast("long")
 
 
-def assigned(pool: Pool, low, size) -> DataFrame:
-    """Entity rows with ``_bin``: events have one, periods every bin from their start's to their end's."""
+def _spans(pool: Pool, low, size) -> DataFrame:
+    """Entity rows with their first and last bin; rows that end before they start, or before the first bin, are left out."""
     from kairoflow.functions.columns import literal
 
     base = literal(low).cast(pool.time_type)
     if pool.kind == "event":
-        return pool.entity.withColumn("_bin", _bin(F.col("_t"), base, size, pool)).where("_bin >= 0")
+        frame = pool.entity.withColumn("_first", _bin(F.col("_t"), base, size, pool))
+        return frame.where("_first >= 0").withColumn("_last", F.col("_first"))
     start, end = F.greatest(_bin(F.col("_start"), base, size, pool), F.lit(0).cast("long")), _bin(F.col("_end"), base, size, pool)
-    return pool.entity.where(end >= start).withColumn("_bin", F.explode(F.sequence(start, end)))
+    return pool.entity.where(end >= start).withColumns({"_first": start, "_last": end})
+
+
+def assigned(pool: Pool, low, size) -> DataFrame:
+    """Entity rows with ``_bin``: events have one, periods every bin from their start's to their end's."""
+    return _in_bins(_spans(pool, low, size), pool)
+
+
+def _in_bins(spans: DataFrame, pool: Pool) -> DataFrame:
+    column = F.col("_first") if pool.kind == "event" else F.explode(F.sequence("_first", "_last"))
+    return spans.withColumn("_bin", column).drop("_first", "_last")
 
 
 def aggregated(pool: Pool, features: list[str], low, size, rule: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"overlap_rule must be one of {sorted(RULES)}")
-    return assigned(pool, low, size).groupBy(ID, "_bin").agg(*[RULES[rule](F.col(f)).alias(f) for f in features])
+    return _by_bin(assigned(pool, low, size), features, rule)
+
+
+def _by_bin(rows: DataFrame, features: list[str], rule: str) -> DataFrame:
+    return rows.groupBy(ID, "_bin").agg(*[RULES[rule](F.col(f)).alias(f) for f in features])
+
+
+def _gridded(pool: Pool, spans: DataFrame, names: list[str], rule: str, bins: int, cells: int) -> DataFrame:
+    """Every id's bins: those that have rows, and the others with nulls.
+
+    Rows are dealt by id into so many tasks that none makes more than some ``ROWS_AT_ONCE`` rows, and
+    an id's empty bins are filled in from its own list: the grid itself is never sorted or moved.
+    """
+    spark = pool.entity.sparkSession
+    ids = pool.ids()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(cells + ids.count() * bins) // ROWS_AT_ONCE))
+    found = _by_bin(_in_bins(spans.repartition(tasks, ID), pool), names, rule)
+    kinds = {n: found.schema[n].dataType for n in names}
+    lists = found.groupBy(ID).agg(F.collect_list(F.struct("_bin", *names)).alias("_cells"))
+    both = ids.repartition(tasks, ID).join(lists, ID, "left")
+    axis = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+    empty = lambda free: F.transform(free, lambda b: F.struct(b.alias("_bin"), *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()]))
+    full = F.when(F.col("_cells").isNull(), empty(axis)).otherwise(F.concat("_cells", empty(F.array_except(axis, F.transform("_cells", lambda c: c["_bin"])))))
+    return both.select(ID, F.inline(full))
 
 
 def binned_data(pool: Pool, features=None, bin_size=None, max_bins: int | None = None, fill_value=None, overlap_rule: str = "first", ohe: bool = False, bin_col: str = "bin") -> DataFrame:
@@ -84,15 +121,14 @@ def binned_data(pool: Pool, features=None, bin_size=None, max_bins: int | None =
     low, size, _ = resolve([pool], bin_size, max_bins)
     if ohe:
         pool, names = _one_hot(pool, names)
-    found = aggregated(pool, names, low, size, overlap_rule)
-    if max_bins is None:
-        top = found.agg(F.max("_bin")).first()[0]
-        bins = 1 if top is None else int(top) + 1
-    else:
-        bins = max_bins
-        found = found.where(F.col("_bin") < bins)
-    grid = pool.ids().withColumn("_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
-    out = grid.join(found, [ID, "_bin"], "left")
+    if overlap_rule not in RULES:
+        raise ValueError(f"overlap_rule must be one of {sorted(RULES)}")
+    spans = _spans(pool, low, size)
+    if max_bins is not None:
+        spans = spans.where(F.col("_first") < max_bins).withColumn("_last", F.least("_last", F.lit(max_bins - 1).cast("long")))
+    top, cells = spans.agg(F.max("_last"), F.sum(F.col("_last") - F.col("_first") + 1)).first()
+    bins = max_bins if max_bins is not None else 1 if top is None else int(top) + 1
+    out = _gridded(pool, spans, names, overlap_rule, bins, int(cells or 0))
     if fill_value is not None:
         out = out.withColumns({n: F.coalesce(F.col(n), F.lit(fill_value)) for n in names})
     return out.select(F.col(ID).alias(pool.id_name), F.col("_bin").alias(bin_col), *names)

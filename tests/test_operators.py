@@ -285,3 +285,24 @@ def test_long_durations_do_not_overflow(spark):
     assert [tuple(r) for r in bar_table(pool, "kind", show_as="duration").collect()] == [("all", "x", Decimal(3 * 2**62)), ("all", "y", Decimal(3))]
     short = bar_table(pool.subset([0, 9]), "kind", show_as="duration")
     assert dict(short.dtypes)["value"] == "bigint" and [r.value for r in short.collect()] == [2**62, 3]
+
+
+def test_the_grid_of_bins_is_not_moved(spark, monkeypatch):
+    """Bins are made beside their id, in tasks of bounded size, and nothing is dealt or sorted by bin."""
+    import re
+
+    from kairoflow.operators import binning, build_intervals
+
+    rows = [(i, 10 * k, 10 * k + 25 * (i % 3), float(k)) for i in range(40) for k in range(i % 5)] + [(99, 17, 3, 1.0)]
+    pool = build_intervals(spark.createDataFrame(rows, "id long, a long, b long, v double"), "id", "a", "b")
+    monkeypatch.setattr(binning, "ROWS_AT_ONCE", 50, raising=False)
+    frame = pool.binned_data(bin_size=10, overlap_rule="sum", fill_value=-1.0)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*_bin", plan)
+    assert f"hashpartitioning(_id#" in plan and max(int(n) for n in re.findall(r"hashpartitioning\(_id[^)]*, (\d+)\)", plan)) > 4
+    expected = {(i, b): -1.0 for i in {r[0] for r in rows} for b in range(9)}
+    for i, a, b, v in rows:
+        for k in range(a // 10 if a <= b else 9, min(b // 10, 8) + 1):
+            expected[i, k] = v + max(expected[i, k], 0.0)
+    got = {(r["id"], r["bin"]): r["v"] for r in frame.collect()}
+    assert got == expected, [(k, got.get(k), expected.get(k)) for k in sorted({*got, *expected}) if got.get(k) != expected.get(k)][:6]
