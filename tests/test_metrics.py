@@ -199,3 +199,73 @@ def test_clusterers_on_a_pool(pool):
         assert labels["empty_1"] == labels["empty_2"] != labels["seq_2"]
     with pytest.raises(ValueError):
         PAM(Chi2(feature="status"), 2).fit(pool.subset(["seq_1"]))
+
+
+@pytest.fixture(scope="module")
+def long_pool(spark):
+    """Sequences of up to 140 rows: several words of bits, and an empty one."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:02d}", t, "ABCD"[rng.integers(4)], float(rng.integers(1, 9))) for i in range(24) for t in range(int(rng.choice([3, 60, 64, 65, 130, 140]) if i else 140))]
+    static = spark.createDataFrame([(f"k{i:02d}", "xy"[i % 2]) for i in range(25)], "id string, kind string")
+    return build_events(spark.createDataFrame(rows, "id string, t long, status string, value double"), "id", "t", static=static)
+
+
+def banded(a, b, d, window=40):
+    t = {(0, 0): 0.0}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        if abs(i - j) <= window:
+            t[i, j] = d(a[i - 1], b[j - 1]) + min(t.get(k, math.inf) for k in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+    return t.get((len(a), len(b)), math.inf)
+
+
+@pytest.mark.parametrize("kind,options,entity,expected", [
+    (Edit, {}, Hamming("status"), edit), (LCS, {}, Hamming("status"), lambda a, b, d: len(a) + len(b) - 2 * common(a, b, d)),
+    (LCP, {}, Hamming("status"), lambda a, b, d: len(a) + len(b) - 2 * prefix(a, b, d)), (DTW, {"window": 40}, SquaredL2("value"), nan_if_empty(banded)),
+    (SoftDTW, {"gamma": 0.5}, Hamming("status"), nan_if_empty(soft)), (LinearPairwise, {}, SquaredL2("value"), linear),
+])
+def test_tiles_hold_each_pair_once(long_pool, monkeypatch, kind, options, entity, expected):
+    """Many tiles of few ids, and no table of pairs that carries their sequences."""
+    from kairoflow.metrics import tiles
+
+    monkeypatch.setattr(tiles, "LEAST_IDS", 4)
+    seq = {f"k{i:02d}": [] for i in range(25)}
+    for r in long_pool.entity.orderBy(ID, "_rank").collect():
+        seq[r[ID]].append((r.status, r.value))
+    frame = kind(entity, **options).between(long_pool, None)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "a_f0" not in plan and "_i" not in plan.replace("_id", "")
+    rows = frame.collect()
+    got = {(r.id_a, r.id_b): r.distance for r in rows}
+    assert len(rows) == len(got) and set(got) == set(itertools.combinations(sorted(seq), 2))
+    d = hamming if isinstance(entity, Hamming) else l2
+    some = list(itertools.combinations(sorted(seq), 2))[::7]
+    for a, b in some:
+        assert got[a, b] == pytest.approx(expected(seq[a], seq[b], d), nan_ok=True), (a, b)
+
+
+def test_row_metrics_of_one_direction(long_pool):
+    """A caller's own row metric that isn't symmetric is asked from the lesser id to the greater."""
+    from kairoflow.metrics import EntityMetric
+
+    class Rise(EntityMetric):
+        def __init__(self, feature):
+            self.feature = feature
+
+        def encode(self, columns):
+            return [np.array([float(v) for v in columns[0]])], None
+
+        def distance(self, a, b, levels):
+            return np.maximum(b[0] - a[0], 0.0)
+
+    first = {r[ID]: r.value for r in long_pool.entity.where("_rank = 0").collect()}
+    top = long_pool.entity.where("_rank = 0").select(F.col(ID).alias("id"), F.col("_t").alias("t"), "value")
+    got = LinearPairwise(Rise("value")).between(build_events(top, "id", "t"), None).collect()
+    assert len(got) == 24 * 23 // 2 and all(r.distance == max(first[r.id_b] - first[r.id_a], 0.0) for r in got)
+
+
+def test_few_weights_keep_logarithms(long_pool):
+    """Path weights out of a double's range take the slow way."""
+    pair = (long_pool.subset(["k00"]), long_pool.subset(["k00", "k24"]))
+    got = {r.id_b: r.distance for r in SoftDTW(Hamming("status"), gamma=0.001).cross(*pair).collect()}
+    seq = [(r.status, r.value) for r in pair[0].entity.orderBy("_rank").collect()]
+    assert got["k00"] == pytest.approx(soft(seq, seq, hamming, 0.001)) and math.isnan(got["k24"])
