@@ -269,3 +269,60 @@ def test_few_weights_keep_logarithms(long_pool):
     got = {r.id_b: r.distance for r in SoftDTW(Hamming("status"), gamma=0.001).cross(*pair).collect()}
     seq = [(r.status, r.value) for r in pair[0].entity.orderBy("_rank").collect()]
     assert got["k00"] == pytest.approx(soft(seq, seq, hamming, 0.001)) and math.isnan(got["k24"])
+
+
+def merged_plainly(d, linkage, n_clusters, threshold=None):
+    """Repeated merging by a search of the whole matrix: the first of the least distances by row and column."""
+    n, d = len(d), d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    members = {i: [i] for i in range(n)}
+    while len(members) > (1 if threshold is not None else n_clusters):
+        i, j = divmod(int(np.argmin(d)), n)
+        if threshold is not None and d[i, j] >= threshold:
+            break
+        a, b = len(members[i]), len(members[j])
+        new = np.maximum(d[i], d[j]) if linkage == "complete" else np.minimum(d[i], d[j]) if linkage == "single" else (a * d[i] + b * d[j]) / (a + b)
+        new[i] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+        d[i, j] = np.inf
+        members[i] += members.pop(j)
+    labels = np.empty(n, int)
+    for label, i in enumerate(sorted(members)):
+        labels[members[i]] = label
+    return labels
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average", "single"])
+def test_merging_equals_a_search_of_the_whole_matrix(linkage):
+    """Many equal distances, and sizes that a search of all pairs for each merge doesn't end for."""
+    rng = np.random.default_rng(2)
+    for n, most, k, threshold in ((1, 3, 1, None), (40, 3, 5, None), (60, 1000, 1, None), (50, 9, 2, 6.0), (80, 4, 3, None)):
+        d = rng.integers(0, most, (n, n)).astype(float)
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        assert (agglomerate(d, linkage, k, threshold) == merged_plainly(d, linkage, k, threshold)).all()
+    x = rng.random((3000, 2))
+    labels = agglomerate(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), linkage, 3)
+    assert set(labels) == {0, 1, 2} and labels[0] == 0
+
+
+def test_clusterers_read_tiles(long_pool, monkeypatch):
+    """PAM by passes over tiles gives what it gives on the matrix, and no clusterer collects pairs."""
+    from kairoflow.cluster import medoids
+    from kairoflow.metrics import tiles
+
+    monkeypatch.setattr(tiles, "LEAST_IDS", 4)
+    for metric in (Edit(Hamming("status")), Chi2(feature="status"), SoftDTW(Hamming("status"), gamma=2.0)):
+        whole = long_pool.subset(long_pool.ids().where(f"{ID} <> 'k24'")) if isinstance(metric, SoftDTW) else long_pool
+        square, ids = metric.matrix(whole).to_numpy()
+        monkeypatch.setattr(DistanceMatrix, "to_numpy", None)
+        expected = pam(square, 3)
+        for most in (0, 2048):
+            monkeypatch.setattr(medoids, "ON_DRIVER", most, raising=False)
+            clusterer = PAM(metric, 3)
+            labels = {r[ID]: r.label for r in clusterer.labels(whole).collect()}
+            assert clusterer.medoids == [ids[i] for i in expected[0]] and clusterer.inertia == pytest.approx(expected[2])
+            assert [labels[i] for i in ids] == list(expected[1])
+        got = {r[ID]: r.label for r in Hierarchical(metric, 3, linkage="average").labels(whole).collect()}
+        assert [got[i] for i in ids] == list(merged_plainly(square, "average", 3))
+        monkeypatch.undo()
+        monkeypatch.setattr(tiles, "LEAST_IDS", 4)
