@@ -326,3 +326,17 @@ def test_clusterers_read_tiles(long_pool, monkeypatch):
         assert [got[i] for i in ids] == list(merged_plainly(square, "average", 3))
         monkeypatch.undo()
         monkeypatch.setattr(tiles, "LEAST_IDS", 4)
+
+
+def test_sampled_medoids_stay_off_the_driver(long_pool, monkeypatch):
+    """CLARA's samples go through tiles: no matrix and no list of the sample's pairs or ids reaches the driver as rows."""
+    from kairoflow.cluster import medoids
+    from kairoflow.cluster.square import Square
+
+    expected = CLARA(Chi2(feature="status"), 2, sampling_ratio=0.7, instances=2, random_state=3)
+    labels = {r[ID]: r.label for r in expected.labels(long_pool).collect()}
+    monkeypatch.setattr(medoids, "ON_DRIVER", 0)
+    for owner, name in ((DistanceMatrix, "to_numpy"), (Square, "square"), (Square, "condensed")):
+        monkeypatch.setattr(owner, name, None)
+    got = CLARA(Chi2(feature="status"), 2, sampling_ratio=0.7, instances=2, random_state=3)
+    assert {r[ID]: r.label for r in got.labels(long_pool).collect()} == labels and got.medoids == expected.medoids
