@@ -340,3 +340,40 @@ def test_sampled_medoids_stay_off_the_driver(long_pool, monkeypatch):
         monkeypatch.setattr(owner, name, None)
     got = CLARA(Chi2(feature="status"), 2, sampling_ratio=0.7, instances=2, random_state=3)
     assert {r[ID]: r.label for r in got.labels(long_pool).collect()} == labels and got.medoids == expected.medoids
+
+
+def test_static_rows_meet_in_tiles(spark, monkeypatch):
+    """Null-safe equality of values of many kinds, as Spark has it, without a join of pairs."""
+    from kairoflow.metrics import tiles
+
+    monkeypatch.setattr(tiles, "LEAST_IDS", 3)
+    nan = float("nan")
+    rows = [(1, "a", 0.0, 5, None), (2, "a", -0.0, 5, None), (3, "a", nan, 5, b"x"), (4, "a", nan, 5, b"x"), (5, None, 1.0, None, b"x"), (6, None, 1.0, None, b"x"), (7, "None", 1.0, None, b"x"), (8, None, 1.0, 0, b"x"), (9, "a", 0.0, 5, b"")]
+    static = spark.createDataFrame(rows, f"{ID} long, s string, v double, k int, b binary").withColumn("at", F.timestamp_micros(F.col("k")))
+    frame = StaticMetric().of(static)
+    assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    alike = {(1, 2), (3, 4), (5, 6)}
+    assert {(r.id_a, r.id_b, r.distance) for r in frame.collect()} == {(a, b, 0.0 if (a, b) in alike else 1.0) for a, b in itertools.combinations(range(1, 10), 2)}
+    listed = static.withColumn("v", F.array("v"))  # values without a text of their own go by a join
+    assert {(r.id_a, r.id_b) for r in StaticMetric().of(listed).collect() if not r.distance} == alike
+
+
+@pytest.mark.parametrize("agg", ["mean", "sum"])
+def test_mixed_tiles_equal_stacked_distances(long_pool, pool, spark, monkeypatch, agg):
+    """A pair's distances are mixed in its tile, as they are where a metric has pairs of its own."""
+    from kairoflow.metrics import tiles
+
+    monkeypatch.setattr(tiles, "LEAST_IDS", 4)
+
+    class Own(DTW):
+        def between(self, one, two):
+            return super().between(one, two).select("*")
+
+    some = long_pool.subset([f"k{i:02d}" for i in range(3, 14)])
+    t = build_trajectories({"a": long_pool, "b": some, "c": pool}, long_pool.static.withColumnRenamed(ID, "id"), "id")
+    mix = lambda warp: Aggregation({"a": Edit(Hamming("status"), normalize=True), "b": warp(SquaredL2("value")), "c": Chi2(feature="status")}, StaticMetric(), agg=agg, weights={"b": 0.5, "static": 3.0})
+    frame = mix(DTW).matrix(t).pairs
+    assert "Aggregate [id_a" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda f: {(r.id_a, r.id_b): round(r.distance, 9) for r in f.collect()}
+    one, two = rows(frame), rows(mix(Own).matrix(t).pairs)
+    assert len(one) > 25 * 24 // 2 and one == two

@@ -54,3 +54,19 @@ def test_labels_of_all_ids(spark, wide, name):
 def test_extend_with_all_ids(spark, wide):
     rows = QUERIES["extend_skip"](spark, wide).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in rows} == {k: 6 for k in range(35, 45)} | {45: 4, 46: 4}
+
+
+def test_rounding_is_that_of_decimals(spark):
+    """Distances are rounded as ``round`` does, halves, zeros and what is not a number included."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kairoflow.plans.queries import _rounded
+
+    draw = random.Random(4)
+    values = [0.0, 0.0078125, 0.1234565, 0.0000005, 2.5e-7, 1 / 3, 1e12 / 7, 8123.4567895, math.nan, math.inf, None] + [draw.random() * 10 ** draw.randint(-8, 9) for _ in range(3000)] + [k / 2_000_000 for k in range(999)]
+    frame = spark.createDataFrame([(v,) for v in values], "distance double")
+    for digits in (6, 9):
+        assert frame.where(~_rounded("distance", digits).eqNullSafe(F.round("distance", digits))).count() == 0
